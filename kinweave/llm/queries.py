@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, substrings, suffixes, warc
+from . import decontaminate, langid, licenses, lines, packing, substrings, suffixes, warc
 from .common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.dedup_suffixes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -19,6 +25,19 @@ def op8_rabin_karp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+
+
+def op10_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read_records(index).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -36,7 +55,7 @@ def op6_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_radix_dedup, op4_warc_normaliser, op5_cross_parsing_langid, op6_license_automaton, op8_rabin_karp_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_radix_dedup, op2_spaced_seed_decontamination, op3_deficit_packing, op10_deletion_line_dedup, op4_warc_normaliser, op5_cross_parsing_langid, op6_license_automaton, op8_rabin_karp_dedup)}
 
 ORACLES = {
     "op1_suffix_radix_dedup": """
