@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lines, packing, substrings, suffixes, warc
+from . import decontaminate, langid, licenses, lines, omh, packing, substrings, suffixes, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_rabin_karp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -55,7 +59,7 @@ def op6_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_radix_dedup, op2_spaced_seed_decontamination, op3_deficit_packing, op10_deletion_line_dedup, op4_warc_normaliser, op5_cross_parsing_langid, op6_license_automaton, op8_rabin_karp_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_radix_dedup, op2_spaced_seed_decontamination, op3_deficit_packing, op10_deletion_line_dedup, op4_warc_normaliser, op5_cross_parsing_langid, op6_license_automaton, op7_order_minhash, op8_rabin_karp_dedup)}
 
 ORACLES = {
     "op1_suffix_radix_dedup": """
