@@ -19,16 +19,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, planes, raw, small_batches, unplanes
+from .common import mix, partitions, planes, raw, small_batches, unplanes
 
 NO_ID = -(2**63)
 #: Keys that a task holds before it sends them.
 FLUSH = 3_000_000
 #: Bytes of text hashed at once.
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 PACKED = "bucket int, ids binary, sizes binary, keys binary, extra binary, places binary, settled binary"
-ANSWER = "id long, kind int, places binary"
-ANSWER_SCHEMA = pa.schema([("id", pa.int64()), ("kind", pa.int32()), ("places", pa.binary())])
+ANSWER = "way int, kind int, ids binary, sizes binary, places binary"
+ANSWER_SCHEMA = pa.schema([("way", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "sizes", "places"))])
 
 
 def id_of(column: str) -> Column:
@@ -138,25 +138,21 @@ class Bucket:
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.keys, self.extra, self.docs, self.at = join(keys, np.uint64), join(extra, np.uint64), join(docs, np.int64), join(at, np.uint32)
 
-    def answers(self, found: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """found: kind, ids and places."""
+    def answers(self, found: list[tuple[int, np.ndarray, np.ndarray]], ways: int) -> Iterator[pa.RecordBatch]:
+        """found: kind, ids and places. A row for each kind and each of the `ways` that ids are dealt out to."""
         for kind in (1, 2):
             parts = [(d, p) for k, d, p in [*self.settled, *found] if k == kind and len(d)]
             if not parts:
                 continue
             docs, at = np.concatenate([d for d, _ in parts]), np.concatenate([p for _, p in parts])
-            order = np.lexsort((at, docs))
-            docs, at = docs[order], at[order]
-            cut = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1 if docs[0] > NO_ID else docs[0] + 1))
-            ends = np.append(cut[1:], len(docs))
-            for lo in range(0, len(cut), 4096):
-                b, e = cut[lo : lo + 4096], ends[lo : lo + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[b]), pa.array(np.full(len(b), kind, np.int32)), pa.array([at[x:y].tobytes() for x, y in zip(b, e, strict=True)], pa.binary())], schema=ANSWER_SCHEMA)
-
-
-def groups(keys: np.ndarray) -> np.ndarray:
-    """The group number of each of the sorted keys."""
-    return np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            way = mix(docs.view(np.uint64).copy()) % np.uint64(ways)
+            order = np.lexsort((at, docs, way))
+            docs, at, way = docs[order], at[order], way[order]
+            cut = np.append(np.flatnonzero(np.concatenate(([True], way[1:] != way[:-1]))), len(way))
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                first = np.flatnonzero(np.concatenate(([True], docs[lo + 1 : hi] != docs[lo : hi - 1])))
+                row = (int(way[lo]), kind, planes(np.diff(docs[lo:hi][first], prepend=np.int64(0))), planes(np.diff(np.append(first, hi - lo)).astype(np.uint32)), planes(at[lo:hi].copy()))
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, ANSWER_SCHEMA, strict=True)], schema=ANSWER_SCHEMA)
 
 
 def send(docs: DataFrame, columns: list[str], emit: Callable, settle: Callable) -> DataFrame:
@@ -176,24 +172,57 @@ def send(docs: DataFrame, columns: list[str], emit: Callable, settle: Callable)
 
 
 def answer(packed: DataFrame, decide: Callable[[Bucket], list]) -> DataFrame:
-    """decide(bucket) gives (kind, ids, places); the result has the places of each kind by document."""
+    """decide(bucket) gives (kind, ids, places); the result has them in blobs, dealt out by id."""
+    ways = partitions(packed.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
         bucket = Bucket(table)
-        found = list(bucket.answers(decide(bucket)))
+        found = list(bucket.answers(decide(bucket), ways))
         return pa.Table.from_batches(found, schema=ANSWER_SCHEMA)
 
     return packed.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def by_document(answers: DataFrame) -> DataFrame:
-    """id, first and second: lists of the places of kinds 1 and 2."""
-    pick = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("places")))
-    return answers.groupBy("id").agg(pick(1).alias("first"), pick(2).alias("second"))
+def stretches(at: np.ndarray) -> bytes | None:
+    """Sorted places as (first, last) of their stretches."""
+    if not len(at):
+        return None
+    gap = np.flatnonzero(np.diff(at) > 1)
+    return np.stack((at[np.concatenate(([0], gap + 1))], at[np.append(gap, len(at) - 1)]), axis=1).astype(np.uint32).tobytes()
 
 
-def united(parts: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(parts or ()), np.uint32)).astype(np.int64)
+def by_document(answers: DataFrame) -> DataFrame:
+    """id, first and second: the places of kinds 1 and 2, as places() reads them."""
+    schema = pa.schema([("id", pa.int64()), ("first", pa.binary()), ("second", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        found: list[dict[int, bytes | None]] = []
+        for kind in (1, 2):
+            docs, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+            for k, i, s, p in zip(*(table.column(n).to_pylist() for n in ("kind", "ids", "sizes", "places")), strict=True):
+                if k == kind:
+                    docs.append(np.repeat(np.cumsum(unplanes(i, np.int64)), unplanes(s, np.uint32)))
+                    at.append(unplanes(p, np.uint32))
+            doc, place = np.concatenate(docs), np.concatenate(at)
+            order = np.lexsort((place, doc))
+            doc, place = doc[order], place[order].astype(np.int64)
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+            doc, place = doc[new], place[new]
+            cut = np.append(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), len(doc)) if len(doc) else np.zeros(1, np.int64)
+            found.append({int(doc[x]): stretches(place[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)})
+        ids = sorted({*found[0], *found[1]})
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), *(pa.array([f.get(i) for i in ids], pa.binary()) for f in found)], schema=schema)
+
+    return answers.groupBy("way").applyInArrow(run, "id long, first binary, second binary")
+
+
+def places(data: bytes | None) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    first, last = np.frombuffer(data, np.uint32).astype(np.int64).reshape(-1, 2).T
+    size = last - first + 1
+    return np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(starts(size)[:-1], size)
 
 
 def packed_texts(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:

@@ -138,7 +138,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             out: list[tuple] = []
             for z, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = exchange.unpack(z).split()
-                at = united(parts)
+                at = exchange.places(parts)
                 at = at[at < max(0, len(words) - width + 1)]
                 spans, removed = [], 0
                 if len(at):
@@ -158,6 +158,5 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             kinds = (pa.int64(), pa.int64(), span, pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["id", "n_words", "n_removed", "intervals", "kept_sha256", "kept"])
 
-    united = exchange.united
     found = joined.select("id", "z", "first").mapInArrow(run, "id long, n_words long, n_removed long, intervals array<struct<begin:long,end:long>>, kept_sha256 string, kept string")
     return found.select(exchange.public_id().alias(id_col), "n_words", "n_removed", "intervals", "kept_sha256", *(["kept"] if with_text else []))

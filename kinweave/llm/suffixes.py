@@ -221,7 +221,7 @@ def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def emit_suffixes(held, b):
         for i, z, second in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
             text, number = exchange.unpack(z), None
-            for runs, (closer,) in text_runs(text, [exchange.united(second)]):
+            for runs, (closer,) in text_runs(text, [exchange.places(second)]):
                 if len(closer):
                     if number is None or not held.held:
                         number = held.document(i, len(text) + 1)
@@ -229,7 +229,7 @@ def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     held.add(np.full(len(start), number), start + runs.base[which], runs.digits(start))
                     yield
 
-    closer = joined.where(F.size("second") > 0)
+    closer = joined.where(F.col("second").isNotNull())
     by_suffix = exchange.by_document(exchange.answer(exchange.send(closer, ["id", "z", "second"], emit_suffixes, settle_suffixes), decide_suffixes))
     final = joined.join(by_suffix.select("id", F.col("first").alias("single")), "id", "left")
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -242,10 +242,10 @@ def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 spans, kept, removed = [], text, 0
                 if whole or single:
                     cover = np.zeros(len(text) + 1, np.int64)
-                    for runs, (hit,) in text_runs(text, [exchange.united(whole)]):
+                    for runs, (hit,) in text_runs(text, [exchange.places(whole)]):
                         np.add.at(cover, runs.first[hit] + runs.base[hit], 1)
                         np.add.at(cover, runs.last[hit] + runs.base[hit] + depth, -1)
-                    start = exchange.united(single)
+                    start = exchange.places(single)
                     start = start[start + depth <= len(text)]
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + depth, -1)

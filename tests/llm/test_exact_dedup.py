@@ -45,7 +45,7 @@ def brute_windows(rows, width):
     return out
 
 
-@pytest.mark.parametrize("flush,chunk", [(3_000_000, 3 << 20), (500, 700)])
+@pytest.mark.parametrize("flush,chunk", [(3_000_000, 1 << 20), (500, 700)])
 def test_suffixes(spark, monkeypatch, flush, chunk):
     monkeypatch.setattr(exchange, "FLUSH", flush)
     monkeypatch.setattr(exchange, "CHUNK", chunk)
