@@ -183,7 +183,7 @@ def sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, docum
 
 
 def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", documents: int = DOCUMENTS, excerpt: int = EXCERPT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Adds lang_pred, score (the winner's lead over the next language, 0 to 1) and rate (its phrases a character).
+    """Adds lang_pred, score (the winner's lead over the next language, 0 to 1) and rate (its phrases a character, but for the last).
 
     training: rows with the label; docs' own label column takes no part in a prediction. keep: columns of
     docs that are returned too, besides the id.
@@ -207,7 +207,7 @@ def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", te
                 second = int(counted[order[1], d]) if len(names) > 1 else 2 * best
                 lang.append(names[order[0]])
                 score.append(min(1.0, max(0.0, (second - best) / second)) if second else 0.0)
-                rate.append(best / int(chars[d]))
+                rate.append((best - 1) / int(chars[d]))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=out_names)
 
     kept = [id_col, *keep]
