@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import ADDRESS_PARTS
-from .constants import NICKNAMES, TIERS
+from .constants import HONORIFICS, NICKNAMES, TIERS
 
 c = F.col
 
@@ -132,6 +132,17 @@ def canonical_names(given: Column) -> Column:
     return F.array_union(F.array(given), F.coalesce(F.try_element_at(table, given), F.array().cast("array<string>")))
 
 
+def name_quality(key: Column, shown: Column, folded: Column) -> Column:
+    """How good a name is to keep. key: kind, given, family; folded: shown without brackets, folded."""
+    count = lambda condition, points: F.when(condition, F.lit(points)).otherwise(0)
+    letters, words = F.regexp_replace(shown, r"[^\p{L}]", ""), F.split(folded, " ")
+    one_case = (F.length(letters) > 1) & (letters.rlike(r"^\p{Ll}+$") | letters.rlike(r"^\p{Lu}+$"))
+    kind = F.when(key["kind"] == "person", 10).when(key["kind"] == "company", 6).when(key["kind"] == "role", 3).otherwise(0)
+    points = kind + count(key["family"] != "", 4) - count((F.length(key["given"]) == 1) | (F.length(key["family"]) == 1), 5) - count(one_case, 1)
+    points = points - count((F.size(words) > 1) & F.get(words, F.lit(0)).isin(*sorted(HONORIFICS)), 1) - count(shown.rlike(r"[(\[]"), 3)
+    return points - count(F.size(canonical_names(key["given"])) > 1, 2) + F.floor(F.least(F.length(key["given"]), F.lit(8)) / 3).cast("int")
+
+
 def ascii_fold(text: Column) -> Column:
     """fold() for texts in ASCII."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "['`]", ""), "[^a-z0-9]+", " "))

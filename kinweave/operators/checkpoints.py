@@ -1,23 +1,46 @@
-"""Lineage cuts in the folder that the driver and all executors share."""
+"""Lineage cuts: tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the folder of spark.checkpoint.dir (a temporary one in local mode) and reads from there."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = sc.getConf().get("spark.checkpoint.dir", "")
-        if not found:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            found = tempfile.mkdtemp(prefix="kinweave-")
-            atexit.register(shutil.rmtree, found, ignore_errors=True)
+
+def shared_dir(spark: SparkSession) -> str:
+    """The URI of the folder of spark.checkpoint.dir, or of a temporary one in local mode."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="kinweave-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
-    return df.checkpoint(eager=True)
+    return (found if "://" in found else "file://" + found.removeprefix("file:")).rstrip("/")
+
+
+def own_dir(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder below the shared one."""
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet below the shared folder and reads it from there: any executor can, whoever wrote it."""
+    path = own_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Deletes the folders made so far in this process, when no result is to be read any more."""
+    jvm = spark.sparkContext._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -216,6 +216,39 @@ def er_components(spark, sf_dir):
     return components(keys.join(firsts, "key").select(F.col("first").alias("a"), F.col("id").alias("b")))
 
 
+QUALITY_SQL = """q AS (SELECT *, 14 - CASE WHEN copy = 1 THEN 5 WHEN copy = 2 THEN 1 ELSE 0 END - CASE WHEN g IN ('bob', 'liz', 'mike') THEN 2 ELSE 0 END + CAST(floor(least(length(g), 8) / 3) AS INTEGER) AS quality FROM x)"""
+
+
+def qualities(spark, sf_dir) -> DataFrame:
+    c = contacts(spark, sf_dir).select("id", udfs.name_key(F.col("name"), F.col("formatted_name"), F.col("org")).alias("key"), K.display_name(F.col("formatted_name"), F.col("name"), F.col("org")).alias("shown"))
+    return c.select("id", "key", "shown", K.name_quality(F.col("key"), F.col("shown"), udfs.fold(K.drop_brackets(F.col("shown")))).alias("quality"))
+
+
+@query(f"WITH $VIEW, {EMAIL_SQL}, {KEY_SQL}, {NICK_SQL}, {QUALITY_SQL} SELECT id, quality FROM q")
+def er_name_quality(spark, sf_dir):
+    return qualities(spark, sf_dir).select("id", "quality")
+
+
+@query(f"""WITH $VIEW, {EMAIL_SQL}, {KEY_SQL}, {NICK_SQL}, {QUALITY_SQL},
+a AS (SELECT q.pid, q.id, q.formatted_name, q.quality + coalesce(sum(CASE WHEN o.f = q.f AND q.f <> '' THEN 1 ELSE 0 END + CASE WHEN list_contains(o.gs, q.g) THEN 1 ELSE 0 END), 0) AS points
+  FROM q LEFT JOIN q o ON o.pid = q.pid AND o.id <> q.id GROUP BY q.pid, q.id, q.formatted_name, q.quality)
+SELECT pid, id, formatted_name, points::BIGINT AS points FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY points DESC, id) AS k FROM a) WHERE k = 1""")
+def er_golden_name(spark, sf_dir):
+    """Which copy's name each person keeps: quality and agreement with the other copies, ties to the lowest id."""
+    q = qualities(spark, sf_dir).join(person_view(spark, sf_dir).select("id", "pid"), "id")
+    other = q.select("pid", F.col("id").alias("oid"), F.col("key").alias("okey"))
+    agrees = F.when((F.col("okey.family") == F.col("key.family")) & (F.col("key.family") != ""), 1).otherwise(0) + F.when((F.col("key.given") != "") & F.array_contains(K.canonical_names(F.col("okey.given")), F.col("key.given")), 1).otherwise(0)
+    met = q.join(other, "pid").withColumn("agrees", F.when(F.col("id") != F.col("oid"), agrees).otherwise(0))
+    points = met.groupBy("pid", "id", "shown").agg((F.max("quality") + F.sum("agrees")).alias("points"))
+    return points.groupBy("pid").agg(F.max_by(F.struct("id", "shown", "points"), F.struct("points", -F.col("id"))).alias("x")).select("pid", "x.id", F.col("x.shown").alias("formatted_name"), "x.points")
+
+
+@query("WITH $VIEW, s AS (SELECT family, given, count(*) AS n, min(id) AS first FROM v GROUP BY 1, 2 ORDER BY n DESC, first LIMIT 10) SELECT family, given, n, first FROM s")
+def er_top_groups(spark, sf_dir):
+    s = person_view(spark, sf_dir).groupBy("family", "given").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    return s.orderBy(F.desc("n"), "first").limit(10)  # a top-k report
+
+
 @query()
 def er_shared_identifiers(spark, sf_dir):
     found = shared_identifiers(prepare(contacts(spark, sf_dir), "IN"))
