@@ -11,6 +11,8 @@ Ids are 64-bit integers; NO_ID stands for null and comes first.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +33,14 @@ ANSWER = "way int, kind int, ids binary, sizes binary, places binary"
 ANSWER_SCHEMA = pa.schema([("way", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "sizes", "places"))])
 
 
+def give_back() -> None:
+    """Has the C library return large freed arrays to the system, so that a reused worker doesn't keep its peak."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD, which else grows with what is freed
+        libc.malloc_trim(0)
+
+
 def id_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
@@ -161,6 +171,7 @@ def send(docs: DataFrame, columns: list[str], emit: Callable, settle: Callable)
     buckets = 2 * partitions(docs.sparkSession)
 
     def run(batches):
+        give_back()
         held = Gathered(buckets, settle)
         for b in batches:
             for _ in emit(held, b):
@@ -176,6 +187,7 @@ def answer(packed: DataFrame, decide: Callable[[Bucket], list]) -> DataFrame:
     ways = partitions(packed.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         bucket = Bucket(table)
         found = list(bucket.answers(decide(bucket), ways))
         return pa.Table.from_batches(found, schema=ANSWER_SCHEMA)

@@ -33,6 +33,8 @@ from . import exchange
 from .common import INVERSE, checkpoint, mix, powers, prefix_sums, raw, symbol_values
 
 DEPTH, GRAM = 100, 32
+#: Bytes of text whose suffixes are digested at once.
+CHUNK = 1 << 18
 #: Stands for "several segments" in pass 2.
 SEVERAL = np.uint64(0)
 
@@ -102,11 +104,11 @@ def pieces(texts: list[bytes], depth: int):
     """Groups of pieces of about CHUNK bytes; long texts are cut, with an overlap."""
     group, size = [], 0
     for i, t in enumerate(texts):
-        for lo in range(0, max(1, len(t) - depth + 1), exchange.CHUNK):
-            p = t[lo : lo + exchange.CHUNK + depth - 1]
+        for lo in range(0, max(1, len(t) - depth + 1), CHUNK):
+            p = t[lo : lo + CHUNK + depth - 1]
             group.append((i, lo, p))
             size += len(p)
-            if size >= exchange.CHUNK:
+            if size >= CHUNK:
                 yield group
                 group, size = [], 0
     if group:

@@ -45,10 +45,10 @@ def brute_windows(rows, width):
     return out
 
 
-@pytest.mark.parametrize("flush,chunk", [(3_000_000, 1 << 20), (500, 700)])
+@pytest.mark.parametrize("flush,chunk", [(3_000_000, 1 << 18), (500, 700)])
 def test_suffixes(spark, monkeypatch, flush, chunk):
     monkeypatch.setattr(exchange, "FLUSH", flush)
-    monkeypatch.setattr(exchange, "CHUNK", chunk)
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
     rows = documents()
     got = suffixes.dedup_suffixes(frame(spark, rows), depth=40, gram=12, with_text=True).collect()
     want = brute_suffixes(rows, 40)
