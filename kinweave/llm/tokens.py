@@ -12,8 +12,8 @@ import json
 
 import numpy as np
 
-#: Chunks that a worker remembers.
-CACHE = 400_000
+#: Chunks and words of a generation: a worker remembers two of each, some 300 bytes an entry.
+CHUNKS, WORDS = 250_000, 400_000
 #: The parts for which chunks are independent, as they stand in the tokenizer's file.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -21,6 +21,27 @@ SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+class Generations(dict):
+    """A bounded memory: when the young generation is full it becomes the old one; what is used again comes back."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def __missing__(self, key):
+        value = self.old[key]
+        self[key] = value
+        return value
+
+    def has(self, key) -> bool:
+        return key in self or key in self.old
+
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -33,50 +54,55 @@ class Encoder:
         first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_word = steps == NORMALIZERS and first.get("pattern") == {"Regex": SPLIT} and first.get("invert") is True
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Generations(CHUNKS), Generations(WORDS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         import regex
 
         split = regex.compile(SPLIT).findall
         parts: dict[str, list[str]] = {}
         for c in chunks:
             # Below U+0250 nothing composes or decomposes, and Python lower-cases as the tokenizer does.
-            if max(c) < "ɐ" and not any(s in c for s in self.specials):
-                parts[c] = split(c.lower())
-            else:
+            if not c.isascii() and max(c) >= "ɐ" or "<" in c and any(s in c for s in self.specials):
                 self.chunks[c] = self.whole(c)
-        new = list({p for found in parts.values() for p in found if p not in self.words})
+                continue
+            low = c.lower()
+            if low.isalpha():
+                parts[c] = [low]
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                parts[c] = [low[:-1], low[-1]]
+            else:
+                parts[c] = split(low)
+        words = self.words
+        new = list({p for found in parts.values() for p in found if not words.has(p)})
         for lo in range(0, len(new), 2000):
             some = new[lo : lo + 2000]
             made = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids, at = np.array(made.ids, self.dtype), np.array(made.word_ids, np.int64)
-            cut = np.searchsorted(at, np.arange(len(some) + 1))
+            cut = np.searchsorted(at, np.arange(len(some) + 1)).tolist()
             if len(at) == 0 or at[-1] != len(some) - 1:  # not one word each after all
-                self.words |= {p: self.whole(p) for p in some}
+                words.update((p, self.whole(p)) for p in some)
                 continue
-            self.words |= {p: ids[cut[i] : cut[i + 1]].tobytes() for i, p in enumerate(some)}
-        words = self.words
+            data, size = ids.tobytes(), ids.itemsize
+            words.update((p, data[size * b : size * e]) for p, b, e in zip(some, cut, cut[1:], strict=False))
         for c, found in parts.items():
-            self.chunks[c] = b"".join([words[p] for p in found])
+            self.chunks[c] = words[found[0]] if len(found) == 1 else b"".join([words[p] for p in found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of self.dtype."""
         if not self.by_word:
             return [self.whole(t) for t in texts]
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        split = [None if any(c in t for c in ODD_SPACE) else t.split() for t in texts]
-        unknown = {c for found in split if found for c in set(found) if c not in self.chunks}
-        if unknown:
-            self._learn(unknown)
-        get = self.chunks.__getitem__
+        chunks = self.chunks
+        chunks.turn()
+        self.words.turn()
+        split = [t.split() if not any(c in t for c in ODD_SPACE) else None for t in texts]
+        unknown = set().union(*[found for found in split if found]).difference(chunks)
+        if unknown and (unknown := unknown.difference(chunks.old)):
+            self._learn(list(unknown))
+        get = chunks.__getitem__
         return [self.whole(t) if found is None else b"".join(map(get, found)) for t, found in zip(texts, split, strict=True)]
 
 
