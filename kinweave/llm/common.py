@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.checkpoints import checkpoint, own_dir  # noqa: F401  for the operators
+
 #: Rows of an Arrow batch. Texts may be long, so batches hold few rows.
 BATCH_ROWS = 256
 
@@ -25,32 +23,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one in local mode."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="kinweave-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def own_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the shared one."""
-    base = shared_dir(spark)
-    return f"{base if '://' in base else 'file://' + base.removeprefix('file:')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with reliable files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

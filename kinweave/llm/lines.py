@@ -38,14 +38,11 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
 
 
-def joined(words: Column) -> Column:
-    return F.array_join(words, " ")
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, line (from 0), words: the lines that have words."""
     split = docs.select(id_of(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line", "s"))
-    return split.select("id", "line", words_of(F.col("s")).alias("words")).where(F.size("words") > 0)
+    # the filter stands before the words: it would else be pushed below them and make them twice
+    return split.where(F.col("s").rlike(r"[^ \t\x0b\f\r]")).select("id", "line", words_of(F.col("s")).alias("words"))
 
 
 def half_keys(words: Column, n: Column, least: int) -> Column:
@@ -53,7 +50,7 @@ def half_keys(words: Column, n: Column, least: int) -> Column:
 
     def of(size: Column, tag: Column) -> list[Column]:
         half = (size / 2).cast("int")
-        return [F.xxhash64(F.lit(0), tag, joined(F.slice(words, F.lit(1), half))), F.xxhash64(F.lit(1), tag, joined(F.slice(words, n - half + 1, half)))]
+        return [F.xxhash64(F.lit(0), tag, F.slice(words, F.lit(1), half)), F.xxhash64(F.lit(1), tag, F.slice(words, n - half + 1, half))]
 
     same, less = of(n, n), of(n - 1, n - 1)
     return F.when(n >= least, F.array(*same, *less)).when(n == least - 1, F.array(*same))
@@ -62,7 +59,7 @@ def half_keys(words: Column, n: Column, least: int) -> Column:
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(id, line) of all lines with words, and of those that stay."""
     n = F.size("words")
-    narrow = lines_of(docs, id_col, text_col).select("id", "line", F.xxhash64(joined(F.col("words"))).alias("h"), half_keys(F.col("words"), n, min_words).alias("keys"))
+    narrow = lines_of(docs, id_col, text_col).select("id", "line", F.xxhash64("words").alias("h"), half_keys(F.col("words"), n, min_words).alias("keys"))
     lines = checkpoint(narrow)  # ids and hashes
     own = F.struct("id", "line")
     firsts = lines.groupBy("h").agg(F.min(F.struct("id", "line", "keys")).alias("x")).select("h", "x.id", "x.line", "x.keys")
@@ -76,8 +73,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     wanted = texts.select("id", F.split("t", "\n").alias("all"), "wanted").select("id", F.explode("wanted").alias("line"), "all").select("id", "line", words_of(F.get("all", F.col("line"))).alias("words"))
     wanted = checkpoint(wanted.where(F.size("words") >= min_words - 1).distinct())
     w, n = F.col("words"), F.size("words")
-    whole = F.array(F.struct(F.lit(-1).alias("place"), F.xxhash64(joined(w)).alias("v")))
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("place"), F.xxhash64(joined(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n)))).alias("v")))
+    whole = F.array(F.struct(F.lit(-1).alias("place"), F.xxhash64(w).alias("v")))
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))).alias("v")))
     emitted = wanted.select("id", "line", F.explode(F.when(n >= min_words, F.concat(whole, cut)).otherwise(whole)).alias("e")).select("id", "line", "e.place", "e.v")
     least = emitted.groupBy("v", "place").agg(F.min(own).alias("least"))
     summed = least.groupBy("v").agg(F.min(F.when(F.col("place") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("least"))).alias("cut"))
