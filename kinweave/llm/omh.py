@@ -13,10 +13,15 @@ similarity that counts shingles in order. Links are pairs of at least SIMILARITY
 Exact copies (equal words) are one text from the start, however many there are. In a bucket of texts that agree in
 a band pairs aren't all made. First each text is held against the bucket's hub, the text with the most company over
 all its buckets: mostly the source of the copies. Texts that links connect are one class. Buckets that then still
-hold several classes are looked at again: up to SMALL texts with all pairs across classes, larger ones with the
-best-connected text of each class that hasn't been a hub yet, ROUNDS times. With 16 bands of 2 sketches of 2 shingles
-a pair of similarity 0.8 meets with a probability of about 0.9998, and surely above 0.95; a link can be missed only
-there, or in buckets of over SMALL texts in which ROUNDS hubs leave several classes.
+hold several classes are looked at again: up to SMALL texts with all pairs across classes, larger ones ROUNDS times
+with one more hub, the best-connected text of the classes without one. The texts of large buckets that hold several
+classes even then are joined by prefixes: similar texts have so many labelled shingles in common that, in any one
+order of all shingles, the first n - ceil(SIMILARITY n) + 1 of each hold a common one. The order is by frequency, so
+what templates share stands last and in no prefix. All pairs across classes that share a prefix shingle are verified:
+no link of a large bucket is missed. Texts that have rare shingles in common but differ in order cost a pair each.
+
+With 16 bands of 2 sketches of 2 shingles a pair of similarity 0.8 meets with a probability of about 0.9998, and
+surely above 0.95; a link can be missed only there.
 
 Cases: null and empty texts have no words and are each a class of their own; a null id counts as the smallest and is
 passed on; rows repeated under one id are one text, or several if their texts differ; ties between hubs go to the
@@ -27,6 +32,7 @@ result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,8 @@ from .substrings import rolled, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 TAKEN, ROWS, BANDS = 2, 2, 16
 SMALL, ROUNDS = 16, 3
+#: Counters of shingles by hash: the order of a prefix join needs no exact frequencies.
+SLOTS = 1 << 18
 
 
 def shingles(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +218,48 @@ def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def prefix_pairs(texts: DataFrame, words: DataFrame, shingle: int, least: float) -> DataFrame:
+    """texts: text, label. All pairs across labels that can be similar: those with a shingle in common among their rarest ones."""
+    held = checkpoint(texts.join(words, "text").select("text", "label", "z"))
+
+    def own(z: bytes) -> np.ndarray:
+        found, _ = word_hashes(np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8))
+        return labelled(*shingles(found, np.array([len(found)]), shingle))
+
+    def count(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for z in b.column(0).to_pylist():
+                np.add.at(counts, (own(z) % np.uint64(SLOTS)).astype(np.int64), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["slot", "n"])
+
+    frequency = np.zeros(SLOTS, np.int64)
+    for r in held.select("z").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # SLOTS rows at most
+        frequency[r["slot"]] = r["n"]
+
+    def prefixes(batches):
+        for b in batches:
+            first, many, sizes = [], [], []
+            for z in b.column(2).to_pylist():
+                values = own(z)
+                n = len(values)
+                rarest = np.lexsort((values, frequency[(values % np.uint64(SLOTS)).astype(np.int64)]))
+                first.append(values[rarest[: n - math.ceil(least * n - 1e-9) + 1]])
+                many.append(len(first[-1]))
+                sizes.append(n)
+            take = pa.array(np.repeat(np.arange(len(many)), many), pa.int64())
+            keys = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(take), b.column(1).take(take), pa.array(sizes, pa.int64()).take(take)], names=["shingle", "text", "label", "n"])
+
+    made = held.mapInArrow(prefixes, "shingle long, text binary, label binary, n long")
+    shared = made.groupBy("shingle").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("shingle")
+    made = checkpoint(made.join(shared, "shingle", "left_semi"))
+    other = made.select("shingle", F.col("text").alias("text2"), F.col("label").alias("label2"), F.col("n").alias("n2"))
+    long_enough = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9
+    return made.join(other, "shingle").where((F.col("label") < F.col("label2")) & long_enough).select(*ordered(F.col("text"), F.col("text2"))).distinct()
+
+
 def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, small: int, rounds: int) -> DataFrame:
     """entries: key, text. Verified pairs, enough to connect each class."""
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -220,12 +270,16 @@ def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, smal
     hubs = entries.groupBy("key").agg(F.max(rank).alias("h")).select("key", F.col("h.text").alias("hub"))
     tried = checkpoint(entries.join(hubs, "key").where("text <> hub").select(*ordered(F.col("text"), F.col("hub"))).distinct())
     found = checkpoint(verified(tried, words, shingle, least))
-    for _ in range(rounds):
+
+    def mixed() -> DataFrame:
+        """The entries of buckets that hold several classes: what connects those is all that can matter."""
         label = components(found)
         classed = entries.join(label.withColumnRenamed("node", "text"), "text", "left").select("key", "text", "size", "degree", F.coalesce("label", "text").alias("label"))
-        # what connects a bucket's classes is all that can matter
-        mixed = classed.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key")
-        classed = checkpoint(classed.join(mixed, "key", "left_semi"))
+        keys = classed.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key")
+        return checkpoint(classed.join(keys, "key", "left_semi"))
+
+    for _ in range(max(1, rounds)):
+        classed = mixed()
         few = classed.where(F.col("size") <= small).select("key", "text", "label")
         other = few.select("key", F.col("text").alias("text2"), F.col("label").alias("label2"))
         across = few.join(other, "key").where("label < label2").select(*ordered(F.col("text"), F.col("text2")))
@@ -244,6 +298,10 @@ def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, smal
         if good.isEmpty():
             continue
         found = checkpoint(found.union(good))
+    rest = checkpoint(mixed().where(F.col("size") > small).select("text", "label").distinct())
+    if not rest.isEmpty():
+        new = prefix_pairs(rest, words, shingle, least).join(tried, ["a", "b"], "left_anti")
+        found = found.union(checkpoint(verified(new, words, shingle, least)))
     return found
 
 

@@ -107,5 +107,23 @@ def test_large_group_of_copies(spark):
     assert got == {i: 0 if i < 1000 else i for i, *_ in rows}
 
 
+def test_pairs_that_meet_only_in_large_buckets(spark):
+    """Templated pages in one bucket: 40 pairs alike, all other pairs just below the threshold."""
+    r = random.Random(9)
+    template = [f"t{i}" for i in range(156)]
+    rows = []
+    for k in range(40):
+        page = template + [f"p{k}w{r.randint(0, 9999)}" for _ in range(44)]
+        changed = list(page)
+        for at in (160, 190):
+            changed[at] = f"c{k}"
+        rows += [(2 * k, " ".join(page), "en", "s", "", "", "", 0), (2 * k + 1, " ".join(changed), "en", "s", "", "", "", 0)]
+    docs = frame(spark, rows)
+    words = omh.squeezed(docs, "text")
+    linked = omh.links(words.selectExpr("1L AS key", "text"), words, 5, 0.8, omh.SMALL, omh.ROUNDS).collect()
+    assert len({(bytes(x["a"]), bytes(x["b"])) for x in linked}) == 40
+    assert brute(rows) == [[2 * k, 2 * k + 1] for k in range(40)]
+
+
 def test_empty(spark):
     assert omh.near_duplicates(frame(spark, [])).count() == 0
