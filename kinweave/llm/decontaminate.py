@@ -6,7 +6,8 @@ matter. Around each hit the item is laid along the document word by word; a docu
 if, in some WINDOW words of the item (all, if it has fewer), at least SIMILARITY of the places hold the same word.
 
 The two masks of weight 6 hit every window of 13 words with up to two replaced words (shown by a test). Items
-with fewer words than the masks are looked up whole.
+with fewer words than a window have masks of their own by their length: cut into two parts more than words may differ,
+and a mask for each choice of so many parts that it leaves out. Whichever places differ, one mask has none of them.
 
 The benchmark's side is broadcast up to BROADCAST_ROWS seeds, counted before; beyond, both sides are shuffled.
 
@@ -17,6 +18,9 @@ whole; empty tables give an empty result; other columns are ignored, whatever th
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +34,24 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text.cast("string")), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def seeds(words: Column, masks: list[str]) -> Column:
-    """For each mask and window the hash and the window's first word: array<struct<place, seed>>."""
+def short_masks(n: int, similarity: float) -> set[str]:
+    """Masks for an item of n words: one at least is hit, whichever places differ, as long as the rule accepts the rest."""
+    wrong = n - math.ceil(n * similarity - 1e-9)
+    parts = min(n, wrong + 2) if wrong else 1
+    edges = [p * n // parts for p in range(parts + 1)]
+    out = ("".join("01"[p not in left_out] * (edges[p + 1] - edges[p]) for p in range(parts)).strip("0") for left_out in itertools.combinations(range(parts), wrong))
+    return {m for m in out if m}
+
+
+def seeds(words: Column, masks: list[str], wanted: list[Column] | None = None) -> Column:
+    """For each mask (that is wanted) and window the hash and the window's first word: array<struct<place, seed>>."""
 
 
     def of(k: int, mask: str) -> Column:
         at = [j for j, c in enumerate(mask) if c == "1"]
         hashed = F.transform(F.sequence(F.lit(0), F.size(words) - len(mask)), lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(k), *[F.get(words, i + j) for j in at]).alias("seed")))
-        return F.when(F.size(words) >= len(mask), hashed).otherwise(F.array().cast("array<struct<place:int,seed:bigint>>"))
+        fits = F.size(words) >= len(mask)
+        return F.when(fits & wanted[k] if wanted else fits, hashed).otherwise(F.array().cast("array<struct<place:int,seed:bigint>>"))
 
     return F.concat(*[of(k, mask) for k, mask in enumerate(masks)])
 
@@ -45,12 +59,13 @@ def seeds(words: Column, masks: list[str]) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """A row a document and item that it holds: matched (equal words in the best window), similarity, start (its first word in the document)."""
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("iw")).where(F.size("iw") > 0).distinct()
-    shortest = min(map(len, masks))
-    short = [r[0] for r in items.where(F.size("iw") < shortest).select(F.size("iw")).distinct().collect()]  # fewer rows than a mask has places
-    every = [*masks, *("1" * n for n in sorted(short))]
-    whole = F.size("iw") < shortest
-    places = F.explode(seeds(F.col("iw"), every))
-    wanted = items.select("item", "iw", whole.alias("whole"), places.alias("s")).select("item", F.col("s.place").alias("at"), F.col("s.seed").alias("seed"))
+    size = F.size("iw")
+    lengths = [r[0] for r in items.where(size < window).select(size).distinct().collect()]  # fewer rows than a window has places
+    own = {n: short_masks(n, similarity) for n in lengths}
+    short = sorted(set().union(*own.values()))
+    of_item = [*[size >= window] * len(masks), *(size.isin([n for n in lengths if m in own[n]]) for m in short)]
+    every = [*masks, *short]
+    wanted = items.select("item", F.explode(seeds(F.col("iw"), every, of_item)).alias("s")).select("item", F.col("s.place").alias("at"), F.col("s.seed").alias("seed"))
     few = wanted.count() <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda df: df)
     texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))

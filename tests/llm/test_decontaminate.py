@@ -4,6 +4,8 @@ import random
 import re
 import unicodedata
 
+import pytest
+
 from kinweave.llm import decontaminate as d
 
 from .corpus import documents, frame
@@ -61,6 +63,38 @@ def test_contaminated(spark):
     assert {(x["doc_id"], x["item_id"]): (x["matched"], x["start"]) for x in got} == brute(rows, items)
 
 
+def brute_whole(rows, items):
+    """All places of all items of up to a window's words in all documents, without seeds."""
+    out = {}
+    for i, t in rows:
+        w = words(t)
+        for k, text in items:
+            iw = words(text)
+            for o in range(-len(iw), len(w)):
+                same = sum(0 <= o + j < len(w) and w[o + j] == x for j, x in enumerate(iw))
+                if same >= math.ceil(0.8 * len(iw) - 1e-9):
+                    out[i, k] = max(out.get((i, k), (-1, 0)), (same, -o))
+    return {k: (v[0], -v[1]) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("n", [3, 5, 8, 9, 10, 11, 12])
+def test_short_items_with_every_tolerated_replacement(spark, n):
+    """A length at a time: the masks of shorter items would help the longer ones."""
+    r = random.Random(n)
+    w = [f"w{j}" for j in range(n)]
+    wrong = n - math.ceil(0.8 * n - 1e-9)
+    rows = []
+    for k in range(wrong + 2):
+        for bad in itertools.combinations(range(n), k):
+            rows.append((len(rows), " ".join(["x"] * r.randint(0, 3) + ["y" if j in bad else x for j, x in enumerate(w)] + ["z"] * r.randint(0, 3))))
+    for cut in range(1, wrong + 2):  # an item that hangs over the document's ends
+        rows += [(len(rows), " ".join(w[cut:] + ["z"])), (len(rows) + 1, " ".join(["x"] + w[:-cut]))]
+    items = [(1, " ".join(w))]
+    got = d.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_whole(rows, items)
+    assert {(x["doc_id"], x["item_id"]): (x["matched"], x["start"]) for x in got} == want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.contaminated(frame(spark), none).count() == 0
