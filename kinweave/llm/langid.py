@@ -3,7 +3,8 @@
 For each language a suffix automaton of sampled labelled text is turned into a dense table. A text is parsed
 against it: each phrase is the longest piece from here on that occurs in the language's text, so a phrase
 ends where the automaton has no further move. The language that needs the fewest phrases a character wins.
-Texts are parsed in blocks of BLOCK characters, many blocks at once, as lanes of one numpy table look-up.
+Texts are parsed in blocks of BLOCK characters, many blocks at once, as lanes of one numpy table look-up. The table
+has columns for the most common letters; moves by any other letter of the samples are looked up in a sorted list.
 
 What is fitted is bounded: at most DOCUMENTS documents a language, EXCERPT characters from the middle of each
 (the model's size is the number of languages times that bound). Prediction reads every character of every text.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from .common import small_batches, texts
 DOCUMENTS, EXCERPT = 64, 640
 #: Characters of a block, and blocks parsed at once.
 BLOCK, LANES = 256, 8192
-#: Character classes: 0 is a letter that no sample has, 1 whatever isn't a letter.
+#: Character classes of the dense tables: 0 is a letter that no sample has, 1 whatever isn't a letter. Rarer letters have higher classes.
 CLASSES = 128
 FLAG = np.int32(1 << 30)
 
@@ -75,12 +77,19 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-@functools.lru_cache(maxsize=2)
-def model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
-    """Languages, the class of each code point, and a table a language.
+class Moves(NamedTuple):
+    """A language's moves. Entries are the next state times CLASSES, with FLAG where a phrase starts."""
 
-    A table's entry for state and class is the next state times CLASSES, with FLAG where a phrase starts.
-    """
+    dense: np.ndarray  #: by state times CLASSES plus class
+    keys: np.ndarray  #: state times `size` plus class, sorted, for classes from CLASSES on; a sentinel stands last
+    moves: np.ndarray  #: by key
+    starts: np.ndarray  #: the move of a class from CLASSES on where no key has one
+    size: int  #: classes in all
+
+
+@functools.lru_cache(maxsize=2)
+def model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[list[str], np.ndarray, list[Moves]]:
+    """Languages, the class of each code point, and the moves of each language."""
     is_letter = letters()
     counts = np.zeros(0x110000, np.int64)
     for _, found in samples:
@@ -88,45 +97,56 @@ def model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[list[str],
             np.add.at(counts, code_points(t), 1)
     counts[~is_letter] = 0
     classes = np.where(is_letter, 0, 1).astype(np.int32)
-    common = np.argsort(-counts, kind="stable")[: CLASSES - 2]
-    common = common[counts[common] > 0]
-    classes[common] = np.arange(2, 2 + len(common))
+    used = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    classes[used] = np.arange(2, 2 + len(used))
+    size = max(CLASSES, 2 + len(used))
     tables = []
     for _, found in samples:
         codes: list[int] = []
         for t in found:
             codes += classes[code_points(t)].tolist() + [-1]  # -1: no match runs from one text into the next
         nxt = suffix_automaton(codes)
-        start = np.full(CLASSES, FLAG, np.int32)
+        start = np.full(size, FLAG, np.int32)
         for c, to in nxt[0].items():
             if c > 0:
                 start[c] = FLAG | to * CLASSES
-        rows = np.repeat(start[None], len(nxt), axis=0)
+        rows = np.repeat(start[None, :CLASSES], len(nxt), axis=0)
+        rare = [(1 << 62, 0)]
         for s, moves in enumerate(nxt):
             if s:
                 for c, to in moves.items():
-                    if c > 0:
+                    if c >= CLASSES:
+                        rare.append((s * size + c, to * CLASSES))
+                    elif c > 0:
                         rows[s, c] = to * CLASSES
-        tables.append(rows.ravel())
+        rare.sort()
+        tables.append(Moves(rows.ravel(), np.array([k for k, _ in rare], np.int64), np.array([m for _, m in rare], np.int32), start[CLASSES:], size))
     return [k for k, _ in samples], classes, tables
 
 
-def phrases(codes: np.ndarray, sizes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+def phrases(codes: np.ndarray, sizes: np.ndarray, tables: list[Moves]) -> np.ndarray:
     """Phrases of each block (a row of codes, sizes descending) by each language."""
     out = np.zeros((len(tables), len(sizes)), np.int64)
     columns = np.ascontiguousarray(codes.T)
     alive = [int(np.searchsorted(-sizes, -j, side="left")) for j in range(int(sizes[0]) if len(sizes) else 0)]
+    rare = [np.flatnonzero(columns[j, :n] >= CLASSES) for j, n in enumerate(alive)]
+    dense = np.minimum(columns, CLASSES - 1)
     for k, table in enumerate(tables):
         state, count = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int32)
         for j, n in enumerate(alive):
-            move = table.take(state[:n] + columns[j, :n])
+            move = table.dense.take(state[:n] + dense[j, :n])
+            if len(rare[j]):
+                c = columns[j, rare[j]]
+                key = (state[rare[j]] // CLASSES).astype(np.int64) * table.size + c
+                at = np.searchsorted(table.keys, key)
+                move[rare[j]] = np.where(table.keys[at] == key, table.moves[at], table.starts[c - CLASSES])
             count[:n] += move >> 30
             np.bitwise_and(move, FLAG - 1, out=state[:n])
         out[k] = count
     return out
 
 
-def parse(batch_texts: list[str], classes: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def parse(batch_texts: list[str], classes: np.ndarray, tables: list[Moves]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phrases of each text by language, characters and letters of each text."""
     counted = np.zeros((len(tables), len(batch_texts)), np.int64)
     chars, alphas = np.zeros(len(batch_texts), np.int64), np.zeros(len(batch_texts), np.int64)

@@ -68,6 +68,29 @@ def test_labels_are_no_input(spark):
     assert pick(docs) == pick(other)
 
 
+def test_large_alphabets(spark):
+    """Two learned languages of 500 letters each, most of them beyond the dense classes, alone and through the pipeline's stage."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    words = {lang: ["".join(chr(first + r.randrange(500)) for _ in range(2)) for _ in range(400)] for lang, first in (("zh", 0x4E00), ("ko", 0xAC00))}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(150)), lang, "s", 0) for i in range(120) for lang in [("zh", "ko")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x for x in langid.identify(docs, docs.where(~langid.held_out("doc_id"))).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang, *_ in rows)
+    assert corpus_pipeline.language_id(spark, docs, "").count() == len(rows)
+    samples = (("zh", tuple(x[1] for x in rows[:40:2])),)
+    _, classes, tables = langid.model(samples)
+    text = rows[42][1][:200]
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and any(text[at : at + k + 1] in t for t in samples[0][1]):
+            k += 1
+        n, at = n + 1, at + k
+    assert langid.parse([text], classes, tables)[0][0, 0] == n
+
+
 def test_without_labels(spark):
     docs = frame(spark, [(1, "abc", None, None, "", "", "", 0)])
     assert [r["lang_pred"] for r in langid.identify(docs, docs).collect()] == ["und"]
