@@ -11,7 +11,8 @@ small table, and every document finds its pieces by itself, wherever it lies: de
 partitions without any task seeing more than its own documents.
 
 Targets: weights by source; by default each source's share of all tokens, so that all queues last to the end.
-More than MAX_QUEUES sources are hashed into that many queues.
+Of more than MAX_QUEUES sources those with a weight keep queues of their own; the others are hashed into that many
+queues, each with the sum of its sources' weights.
 
 Cases: a null text counts as empty and packs as its end token; a null source is the queue of the empty name; a
 null id is passed on; rows repeated are each packed; very long texts are cut into pieces over many windows; an
@@ -26,7 +27,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, small_batches, texts
@@ -117,12 +118,25 @@ class Schedule:
 TOKENS = "id {id}, queue string, ids binary, n long, part int, before long"
 
 
-def tokenised(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, tokenizer: str, end_id: int, queues: int) -> DataFrame:
+def queue_of(docs: DataFrame, source_col: str, weights: dict[str, float] | None, queues: int) -> tuple[Column, dict[str, float] | None]:
+    """The queue of a row, and the queues' weights. With more sources than queues, those without a weight share hash buckets."""
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    if docs.select(source.alias("s")).distinct().limit(queues + 1).count() <= queues:
+        return source, weights
+    mark = "#"
+    while any(name.startswith(mark) for name in weights or ()):
+        mark += "#"
+    bucket = F.concat(F.lit(mark), F.pmod(F.xxhash64(source), F.lit(queues)).cast("string"))
+    if not weights:
+        return bucket, weights
+    own = source.isin(list(weights))
+    sizes = docs.where(~own).select(source.alias("s"), bucket.alias("q")).distinct().groupBy("q").count().collect()  # a row a bucket
+    return F.when(own, source).otherwise(bucket), weights | {r["q"]: r["count"] for r in sizes}  # each source without a weight counts 1
+
+
+def tokenised(docs: DataFrame, *, id_col: str, text_col: str, queue: Column, tokenizer: str, end_id: int) -> DataFrame:
     """id, queue, ids (compressed), n, and the partition and the queue's tokens before it in the partition."""
     small_batches(docs.sparkSession)
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    many = docs.select(source.alias("s")).distinct().limit(queues + 1).count() > queues
-    queue = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(queues)).cast("string")) if many else source
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -147,7 +161,8 @@ def tokenised(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, t
 
 def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, width: int = WIDTH, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", queues: int = MAX_QUEUES, with_ids: bool = False) -> DataFrame:
     """A row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source queue and, if asked for, the ids."""
-    tokens = checkpoint(tokenised(docs, id_col=id_col, text_col=text_col, source_col=source_col, tokenizer=tokenizer, end_id=end_id, queues=queues))
+    queue, weights = queue_of(docs, source_col, weights, queues)
+    tokens = checkpoint(tokenised(docs, id_col=id_col, text_col=text_col, queue=queue, tokenizer=tokenizer, end_id=end_id))
     parts = checkpoint(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")))
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row a queue
     schedule = Schedule(totals, weights, width)

@@ -88,3 +88,16 @@ def test_many_sources_share_queues(spark):
 
 def test_empty(spark):
     assert packing.pack(frame(spark, []), tokenizer=TOKENIZER).count() == 0
+
+
+def test_weights_with_more_sources_than_queues(spark):
+    from kinweave.llm.queries import tokenizer_path
+
+    names = ["#1", "heavy", *(f"s{i}" for i in range(28))]
+    rows = [(i, "some words of a text " * (900 if i < 2 else 200), "en", s, "", "", "", 0) for i, s in enumerate(names)]
+    got = packing.pack(frame(spark, rows), tokenizer=tokenizer_path(), weights={"heavy": 20.0, "#1": 12.0}, queues=4).where("sequence_id = 0").collect()
+    share = {}
+    for x in got:
+        share[x["queue"]] = share.get(x["queue"], 0) + x["length"]
+    assert abs(share["heavy"] - 2048 * 20 / 60) <= 1 and abs(share["#1"] - 2048 * 12 / 60) <= 1
+    assert sum(share.values()) == 2048 and all(x["queue"].startswith("##") for x in got if x["doc_id"] > 1)
