@@ -23,6 +23,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def joined_batches(batches, column: int, size: int):
+    """Neighbouring batches as one, as long as the column's strings have fewer than `size` bytes."""
+    held, have = [], 0
+    for b in batches:
+        held.append(b)
+        have += b.column(column).nbytes
+        if have >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, have = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

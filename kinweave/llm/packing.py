@@ -30,8 +30,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches, texts
-from .tokens import encoder
+from .common import checkpoint, joined_batches, small_batches
+from .tokens import SPLIT_AT_ONCE, encoder
 
 WIDTH = 2048
 MAX_QUEUES = 1024
@@ -146,14 +146,13 @@ def tokenised(docs: DataFrame, *, id_col: str, text_col: str, queue: Column, tok
         end = np.array([end_id], enc.dtype).tobytes()
         squeeze = zstandard.ZstdCompressor(level=1).compress
         seen: dict[str, int] = {}
-        for b in batches:
+        for b in joined_batches(batches, 2, SPLIT_AT_ONCE):
             ids, n, before = [], [], []
-            for queue, made in zip(b.column(1).to_pylist(), enc.encode(texts(b.column(2))), strict=True):
-                size = len(made) // enc.dtype.itemsize + 1
+            for queue, made in zip(b.column(1).to_pylist(), enc.encode(b.column(2)), strict=True):
                 before.append(seen.get(queue, 0))
-                seen[queue] = before[-1] + size
-                ids.append(squeeze(made + end))
-                n.append(size)
+                n.append(len(made) + 1)
+                seen[queue] = before[-1] + n[-1]
+                ids.append(squeeze(made.tobytes() + end))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64())], names=["id", "queue", "ids", "n", "part", "before"])
 
     return docs.select(F.col(id_col).alias("id"), queue.alias("queue"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, TOKENS.format(id=kind))

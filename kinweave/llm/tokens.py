@@ -1,8 +1,9 @@
 """Token ids of texts, by a tokenizer file of the `tokenizers` library.
 
-Tokenising is word by word where that gives the same ids as the whole text: chunks between white space are
-looked up in a bounded cache of their ids, and only unknown words go through the tokenizer, many at once.
-Texts, or tokenizers, for which this isn't known to hold are encoded as a whole.
+Where chunks between ASCII white space are independent, texts are split by Arrow and the chunks looked up in a
+bounded table of those seen lately. Unknown ones are cut into words; plain words go to the tokenizer's model alone, all
+else through the whole tokenizer, joined by blanks and told apart by offsets. The texts' ids are gathered by numpy.
+Tokenizers for which chunks aren't known to be independent encode each text as a whole.
 """
 
 from __future__ import annotations
@@ -11,35 +12,37 @@ import functools
 import json
 
 import numpy as np
-
-#: Chunks and words of a generation: a worker remembers two of each, some 300 bytes an entry.
-CHUNKS, WORDS = 250_000, 400_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks that a worker remembers: some 30 bytes each.
+CHUNKS = 600_000
+#: Words that it remembers between two calls: some 150 bytes each.
+WORDS = 300_000
+#: Chunks that go through the whole tokenizer at once.
+JOINED = 4000
+#: Bytes of text split at once.
+SPLIT_AT_ONCE = 4_000_000
 #: The parts for which chunks are independent, as they stand in the tokenizer's file.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: White space to Python's split() but not to the tokenizer.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
-
+#: Below this nothing composes or decomposes and Python lower-cases as the tokenizer does.
+SIMPLE = "\u0250"
 
-class Generations(dict):
-    """A bounded memory: when the young generation is full it becomes the old one; what is used again comes back."""
 
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
+def gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[begin : begin + size] one after another."""
+    at = np.cumsum(size)
+    out = np.arange(int(at[-1]) if len(at) else 0)
+    out += np.repeat(begin - at + size, size)
+    return values[out]
 
-    def __missing__(self, key):
-        value = self.old[key]
-        self[key] = value
-        return value
 
-    def has(self, key) -> bool:
-        return key in self or key in self.old
-
-    def turn(self) -> None:
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
+def byte_letters() -> dict[int, int]:
+    """Byte-level tokenizers write printable bytes as themselves and the others as letters from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
 
 class Encoder:
@@ -51,59 +54,99 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         steps = (spec.get("normalizer") or {}).get("normalizers")
-        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.by_word = steps == NORMALIZERS and first.get("pattern") == {"Regex": SPLIT} and first.get("invert") is True
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_chunk = steps == NORMALIZERS and pre[0].get("pattern") == {"Regex": SPLIT} and pre[0].get("invert") is True
+        self.by_chunk = self.by_chunk and len(pre) == 2 and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
-        self.chunks, self.words = Generations(CHUNKS), Generations(WORDS)
+        self.letters = byte_letters()
+        self.words: dict[str, bytes] = {}
+        self._keep(pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64))
+
+    def _keep(self, names: pa.Array, values: np.ndarray, size: np.ndarray) -> None:
+        self.names, self.values, self.size = names, values, size
+        self.begin = np.cumsum(size) - size
+        self.used = np.zeros(len(size), bool)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        import regex
-
-        split = regex.compile(SPLIT).findall
-        parts: dict[str, list[str]] = {}
-        for c in chunks:
-            # Below U+0250 nothing composes or decomposes, and Python lower-cases as the tokenizer does.
-            if not c.isascii() and max(c) >= "ɐ" or "<" in c and any(s in c for s in self.specials):
-                self.chunks[c] = self.whole(c)
-                continue
+    def _word(self, word: str) -> bytes:
+        """The ids of lower-case letters below SIMPLE."""
+        known = self.words.get(word)
+        if known is None:
+            text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            known = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(text)], self.dtype).tobytes()
+        return known
+
+    def _learned(self, chunks: list[str]) -> list[bytes]:
+        if len(self.words) > WORDS:
+            self.words.clear()
+        out: list[bytes] = [b""] * len(chunks)
+        rest: list[int] = []
+        word = self._word
+        for i, c in enumerate(chunks):
             low = c.lower()
-            if low.isalpha():
-                parts[c] = [low]
+            if not c:
+                continue
+            if not c.isascii() and max(c) >= SIMPLE:
+                rest.append(i)
+            elif low.isalpha():
+                out[i] = word(low)
             elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                parts[c] = [low[:-1], low[-1]]
+                out[i] = word(low[:-1]) + word(low[-1])
+            elif "<" in c and any(s in c for s in self.specials):  # joined to others, it could reach over a blank
+                out[i] = self.whole(c)
             else:
-                parts[c] = split(low)
-        words = self.words
-        new = list({p for found in parts.values() for p in found if not words.has(p)})
-        for lo in range(0, len(new), 2000):
-            some = new[lo : lo + 2000]
+                rest.append(i)
+        for lo in range(0, len(rest), JOINED):
+            some = [chunks[i] for i in rest[lo : lo + JOINED]]
             made = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, at = np.array(made.ids, self.dtype), np.array(made.word_ids, np.int64)
-            cut = np.searchsorted(at, np.arange(len(some) + 1)).tolist()
-            if len(at) == 0 or at[-1] != len(some) - 1:  # not one word each after all
-                words.update((p, self.whole(p)) for p in some)
-                continue
-            data, size = ids.tobytes(), ids.itemsize
-            words.update((p, data[size * b : size * e]) for p, b, e in zip(some, cut, cut[1:], strict=False))
-        for c, found in parts.items():
-            self.chunks[c] = words[found[0]] if len(found) == 1 else b"".join([words[p] for p in found])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian numbers of self.dtype."""
-        if not self.by_word:
-            return [self.whole(t) for t in texts]
-        chunks = self.chunks
-        chunks.turn()
-        self.words.turn()
-        split = [t.split() if not any(c in t for c in ODD_SPACE) else None for t in texts]
-        unknown = set().union(*[found for found in split if found]).difference(chunks)
-        if unknown and (unknown := unknown.difference(chunks.old)):
-            self._learn(list(unknown))
-        get = chunks.__getitem__
-        return [self.whole(t) if found is None else b"".join(map(get, found)) for t, found in zip(texts, split, strict=True)]
+            data, size = np.array(made.ids, self.dtype).tobytes(), self.dtype.itemsize
+            begin = np.cumsum([0, *[len(c) + 1 for c in some]])
+            starts = np.fromiter((b for b, _ in made.offsets), np.int64, len(made.ids))
+            cut = (np.searchsorted(starts, begin, side="left") * size).tolist()
+            for i, b, e in zip(rest[lo : lo + JOINED], cut[:-1], cut[1:], strict=True):
+                out[i] = data[b:e]
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        if not self.by_chunk:
+            return [np.frombuffer(self.whole(t or ""), self.dtype) for t in texts.to_pylist()]
+        out: list[np.ndarray] = []
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        lo = 0
+        while lo < len(texts):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:], dtype=np.int64), SPLIT_AT_ONCE)))
+            out += self._encode(texts.slice(lo, hi - lo))
+            lo = hi
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        flat = lists.flatten()
+        index = pc.fill_null(pc.index_in(flat, value_set=self.names), -1).to_numpy(zero_copy_only=False)
+        missing = index < 0
+        if missing.any():
+            unknown = flat.filter(pa.array(missing))
+            new = pc.unique(unknown)
+            made = self._learned(new.to_pylist())
+            before = len(self.size)
+            values = np.concatenate((self.values, np.frombuffer(b"".join(made), self.dtype)))
+            size = np.concatenate((self.size, np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize))
+            used = self.used
+            self._keep(pa.concat_arrays([self.names, new]), values, size)
+            self.used[:before] = used
+            index = index.copy()
+            index[missing] = pc.index_in(unknown, value_set=new).to_numpy(zero_copy_only=False) + before
+        own = self.size[index]
+        ids = gathered(self.values, self.begin[index], own)
+        edges = np.concatenate(([0], np.cumsum(own)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        self.used[index] = True
+        if len(self.size) > CHUNKS:  # what wasn't used since the last time goes
+            stay = self.used if 2 * int(self.used.sum()) < len(self.used) else np.zeros(len(self.used), bool)
+            self._keep(self.names.filter(pa.array(stay)), gathered(self.values, self.begin[stay], self.size[stay]), self.size[stay])
+        return [ids[b:e] for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from kinweave.llm import packing
+from kinweave.llm import packing, tokens
 from kinweave.llm.tokens import Encoder
 
 from .corpus import documents, frame
@@ -43,8 +44,19 @@ def test_windows_hold_the_targets():
 def test_encoder_gives_the_tokenizer_s_ids():
     e = Encoder(TOKENIZER)
     texts = [x[1] or "" for x in documents()] + ["it's they're '' 's 'sx x's's", "ÀÉ İstanbul ǅ ß ŉ", "a<|endoftext|>b <|startoftext|>", "x\x1cy z\x85w\xa0q", "日本語 １２", "ΑΣ ΟΔΟΣ", "x́ é", "½ ² ١٢ a1b2 __ a_b", "\U0001f600 ok", "A​B"]
-    assert e.by_word
-    assert e.encode(texts) == [e.whole(t) for t in texts]
+    assert e.by_chunk
+    found = e.encode(pa.array([*texts, None]))
+    assert [x.tobytes() for x in found] == [e.whole(t) for t in [*texts, ""]]
+
+
+def test_encoder_forgets_chunks(monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNKS", 50)
+    monkeypatch.setattr(tokens, "WORDS", 20)
+    monkeypatch.setattr(tokens, "SPLIT_AT_ONCE", 300)
+    e = Encoder(TOKENIZER)
+    texts = [x[1] or "" for x in documents()] * 2
+    assert [x.tobytes() for x in e.encode(pa.array(texts))] == [e.whole(t) for t in texts]
+    assert len(e.names) < 5000
 
 
 @pytest.mark.parametrize("weights", [None, {"src0": 3, "src1": 1}])
