@@ -36,6 +36,18 @@ def joined_batches(batches, column: int, size: int):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
