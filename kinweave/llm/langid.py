@@ -3,8 +3,10 @@
 For each language a suffix automaton of sampled labelled text is turned into a dense table. A text is parsed
 against it: each phrase is the longest piece from here on that occurs in the language's text, so a phrase
 ends where the automaton has no further move. The language that needs the fewest phrases a character wins.
-Texts are parsed in blocks of BLOCK characters, many blocks at once, as lanes of one numpy table look-up. The table
-has columns for the most common letters; moves by any other letter of the samples are looked up in a sorted list.
+Texts are parsed in blocks of BLOCK characters, many blocks at once, as lanes of one numpy table look-up. A block
+is first parsed as if a phrase began there and then, with the state that the block before it ends in, as far as the
+two parses differ: phrases run over blocks, and counts are those of the whole text. The table has columns for the most
+common letters; moves by any other letter of the samples are looked up in a sorted list.
 
 What is fitted is bounded: at most DOCUMENTS documents a language, EXCERPT characters from the middle of each
 (the model's size is the number of languages times that bound). Prediction reads every character of every text.
@@ -27,13 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, texts
+from .exchange import give_back
 
 #: Bounds of the labelled sample.
 DOCUMENTS, EXCERPT = 64, 640
 #: Characters of a block, and blocks parsed at once.
 BLOCK, LANES = 256, 8192
+#: Characters after which two parses of a block mostly agree.
+HEAD = 48
 #: Character classes of the dense tables: 0 is a letter that no sample has, 1 whatever isn't a letter. Rarer letters have higher classes.
-CLASSES = 128
+CLASSES = 64
 FLAG = np.int32(1 << 30)
 
 
@@ -124,26 +129,48 @@ def model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[list[str],
     return [k for k, _ in samples], classes, tables
 
 
-def phrases(codes: np.ndarray, sizes: np.ndarray, tables: list[Moves]) -> np.ndarray:
-    """Phrases of each block (a row of codes, sizes descending) by each language."""
-    out = np.zeros((len(tables), len(sizes)), np.int64)
-    columns = np.ascontiguousarray(codes.T)
-    alive = [int(np.searchsorted(-sizes, -j, side="left")) for j in range(int(sizes[0]) if len(sizes) else 0)]
-    rare = [np.flatnonzero(columns[j, :n] >= CLASSES) for j, n in enumerate(alive)]
-    dense = np.minimum(columns, CLASSES - 1)
-    for k, table in enumerate(tables):
-        state, count = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int32)
-        for j, n in enumerate(alive):
-            move = table.dense.take(state[:n] + dense[j, :n])
-            if len(rare[j]):
-                c = columns[j, rare[j]]
-                key = (state[rare[j]] // CLASSES).astype(np.int64) * table.size + c
-                at = np.searchsorted(table.keys, key)
-                move[rare[j]] = np.where(table.keys[at] == key, table.moves[at], table.starts[c - CLASSES])
-            count[:n] += move >> 30
-            np.bitwise_and(move, FLAG - 1, out=state[:n])
-        out[k] = count
-    return out
+def stepped(columns: np.ndarray, sizes: np.ndarray, table: Moves, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that start in each block (a column of codes, sizes descending), and the state after it; state: the one before it."""
+    state, count = state.copy(), np.zeros(len(sizes), np.int32)
+    steps = int(sizes[0]) if len(sizes) else 0
+    alive = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
+    odd = table.size > CLASSES
+    for j, n in enumerate(alive):
+        codes = columns[j, :n]
+        if odd:
+            rare = np.flatnonzero(codes >= CLASSES)
+            codes = np.minimum(codes, CLASSES - 1)
+        move = table.dense.take(state[:n] + codes)
+        if odd and len(rare):
+            c = columns[j, rare]
+            key = (state[rare] // CLASSES).astype(np.int64) * table.size + c
+            at = np.searchsorted(table.keys, key)
+            move[rare] = np.where(table.keys[at] == key, table.moves[at], table.starts[c - CLASSES])
+        count[:n] += move >> 30
+        np.bitwise_and(move, FLAG - 1, out=state[:n])
+    return count, state
+
+
+def phrases(columns: np.ndarray, sizes: np.ndarray, before: np.ndarray, after: np.ndarray, table: Moves, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of blocks that follow one another, and the states after them.
+
+    before, after: the block that stands before or after each in its text, or -1; first: states before those that have none.
+    """
+    small, large = np.minimum(sizes, HEAD), np.maximum(sizes - HEAD, 0)
+    head, middle = stepped(columns[:HEAD], small, table, first)
+    rest, end = stepped(columns[HEAD:], large, table, middle)
+    todo = np.flatnonzero(before >= 0)
+    while len(todo):
+        count, state = stepped(columns[:HEAD, todo], small[todo], table, end[before[todo]])
+        head[todo] = count
+        late = np.flatnonzero(state != middle[todo])
+        middle[todo] = state
+        todo = todo[late]
+        if len(todo):
+            was = end[todo]
+            rest[todo], end[todo] = stepped(columns[HEAD:, todo], large[todo], table, middle[todo])
+            todo = np.sort(after[todo[(end[todo] != was) & (after[todo] >= 0)]])
+    return head + rest, end
 
 
 def parse(batch_texts: list[str], classes: np.ndarray, tables: list[Moves]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,20 +178,32 @@ def parse(batch_texts: list[str], classes: np.ndarray, tables: list[Moves]) -> t
     counted = np.zeros((len(tables), len(batch_texts)), np.int64)
     chars, alphas = np.zeros(len(batch_texts), np.int64), np.zeros(len(batch_texts), np.int64)
     is_letter = letters()
-    pending: list[tuple[int, np.ndarray]] = []
+    pending: list[tuple[int, int, np.ndarray]] = []  # text, start, codes
+    carried = np.zeros(len(tables), np.int32)  # states after the last block
 
     def flush():
         if not pending:
             return
-        pending.sort(key=lambda x: -len(x[1]))
-        sizes = np.array([len(x) for _, x in pending], np.int64)
-        lanes = np.zeros((len(pending), BLOCK), np.int32)
-        for i, (_, x) in enumerate(pending):
-            lanes[i, : len(x)] = x
-        found = phrases(lanes, sizes, tables)
-        at = np.array([d for d, _ in pending])
-        for k in range(len(tables)):
-            np.add.at(counted[k], at, found[k])
+        n = len(pending)
+        sizes = np.array([len(x) for _, _, x in pending], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        follows = np.array([at > 0 for _, at, _ in pending])
+        before, after = np.full(n, -1), np.full(n, -1)
+        o = np.flatnonzero(follows[1:]) + 1
+        before[place[o]], after[place[o - 1]] = place[o - 1], place[o]
+        columns = np.zeros((BLOCK, n), np.int32)
+        for i, (_, _, x) in enumerate(pending):
+            columns[: len(x), place[i]] = x
+        at = np.array([d for d, _, _ in pending])[order]
+        for k, table in enumerate(tables):
+            first = np.zeros(n, np.int32)
+            if follows[0]:
+                first[place[0]] = carried[k]
+            found, end = phrases(columns, sizes[order], before, after, table, first)
+            np.add.at(counted[k], at, found)
+            carried[k] = end[place[n - 1]]
         pending.clear()
 
     for d, text in enumerate(batch_texts):
@@ -174,7 +213,7 @@ def parse(batch_texts: list[str], classes: np.ndarray, tables: list[Moves]) -> t
         if alphas[d] and tables:
             codes = classes[points]
             for at in range(0, len(codes), BLOCK):
-                pending.append((d, codes[at : at + BLOCK]))
+                pending.append((d, at, codes[at : at + BLOCK]))
                 if len(pending) >= LANES:
                     flush()
     flush()
@@ -212,7 +251,9 @@ def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", te
     samples = sample(training, id_col=id_col, text_col=text_col, label_col=label_col, documents=documents, excerpt=excerpt)
 
     def predict(batches):
+        give_back()
         names, classes, tables = model(samples)
+        give_back()  # what making the tables took
         for b in batches:
             counted, chars, alphas = parse(texts(b.column(0)), classes, tables)
             lang, score, rate = [], [], []

@@ -21,26 +21,27 @@ def labelled(n=240, seed=2):
 
 
 def phrases_by_search(text, samples):
-    """Greedy longest matches by plain search, block by block."""
-    n = 0
+    """Greedy longest matches of the whole text by plain search."""
+    n = i = 0
     kinds = [re.sub("[^a-zñçèûäéôì]", " ", t.lower()) for t in samples]
     text = re.sub("[^a-zñçèûäéôì]", " ", text.lower())
-    for at in range(0, len(text), langid.BLOCK):
-        block = text[at : at + langid.BLOCK]
-        i = 0
-        while i < len(block):
-            k = 1
-            while i + k < len(block) and any(block[i : i + k + 1] in s for s in kinds):
-                k += 1
-            n += 1
-            i += k
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and any(text[i : i + k + 1] in s for s in kinds):
+            k += 1
+        n += 1
+        i += k
     return n
 
 
-def test_parse_counts_greedy_longest_matches():
+@pytest.mark.parametrize("block,head,lanes", [(256, 48, 8192), (16, 5, 7), (40, 1, 3)])
+def test_parse_counts_greedy_longest_matches(monkeypatch, block, head, lanes):
+    for name, value in (("BLOCK", block), ("HEAD", head), ("LANES", lanes)):
+        monkeypatch.setattr(langid, name, value)
     samples = tuple((lang, (text * 3,)) for lang, text in LANGS.items())
     _, classes, tables = langid.model(samples)
-    texts = [t for _, t, *_ in labelled(30)] + ["", "Ωμέγα bala", "x" * 600]
+    long = (LANGS["aa"] * 3)[:-7]  # phrases longer than a block
+    texts = [t for _, t, *_ in labelled(30)] + [long, long + " " + LANGS["bb"] * 2, "", "Ωμέγα bala", "x" * 600]
     counted, chars, alphas = langid.parse(texts, classes, tables)
     for d, t in enumerate(texts[:-2]):
         for k, (_, own) in enumerate(samples):
