@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import decontaminate, langid, lines, omh, packing
-from kinweave.llm.common import own_dir, table
+from kinweave.llm.common import fresh, own_dir, table
 from kinweave.llm.queries import tokenizer_path
 
 #: Phrases a character above which a text isn't in a learned language: matches of one or two characters only.
@@ -27,22 +27,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out of the texts that a like line stands before; n_chars follows."""
+    """Takes lines out of the texts that a like line stands before; n_chars, if there is one, follows."""
     left = lines.without_lines(docs, lines.dedup_lines(docs))
-    return left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size))
+    return left.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class."""
     found = omh.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    (key,) = fresh(docs, "first_id")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    (key,) = fresh(docs, "hit_id")
+    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
