@@ -25,7 +25,7 @@ from .common import mix, partitions, planes, raw, small_batches, unplanes
 
 NO_ID = -(2**63)
 #: Keys that a task holds before it sends them.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 PACKED = "bucket int, ids binary, sizes binary, keys binary, extra binary, places binary, settled binary"
