@@ -60,8 +60,8 @@ def op6_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no images: each embedding of 64 numbers is read as a grey tile of 8 by 8, enlarged 8 times."""
-    return media.image_copies(table(spark, sf_dir, "embeddings"), id_col="vec_id", media_col="embedding", width=8, enlarged=8)
+    """The tables hold no images: each embedding of 64 numbers is read as a grey tile of 8 by 8, enlarged 4 times."""
+    return media.image_copies(table(spark, sf_dir, "embeddings"), id_col="vec_id", media_col="embedding", width=8, enlarged=4)
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_radix_dedup, op2_spaced_seed_decontamination, op3_deficit_packing, op10_deletion_line_dedup, op4_warc_normaliser, op5_cross_parsing_langid, op6_license_automaton, op7_order_minhash, op8_rabin_karp_dedup, op9_local_descriptors)}
