@@ -27,7 +27,7 @@ NO_ID = -(2**63)
 #: Keys that a task holds before it sends them.
 FLUSH = 1_000_000
 #: Bytes of text hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 PACKED = "bucket int, ids binary, sizes binary, keys binary, extra binary, places binary, settled binary"
 ANSWER = "way int, kind int, ids binary, sizes binary, places binary"
 ANSWER_SCHEMA = pa.schema([("way", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "sizes", "places"))])
@@ -178,6 +178,7 @@ def send(docs: DataFrame, columns: list[str], emit: Callable, settle: Callable)
                 if held.held >= FLUSH:
                     yield from held.flush()
         yield from held.flush()
+        give_back()
 
     return docs.select(*columns).mapInArrow(run, PACKED)
 

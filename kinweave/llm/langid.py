@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -52,47 +53,68 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
-    """Transitions of the automaton that accepts the substrings of codes."""
-    nxt: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in codes:
-        new = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            if length[q] == length[p] + 1:
-                link[new] = q
+class Automaton:
+    """The automaton that accepts the substrings of codes. Moves by codes below `width` stand in one flat array, others by state."""
+
+    def __init__(self, codes: list[int], width: int):
+        self.width = width
+        none = array("i", [-1]) * width
+        self.dense = array("i", none)
+        self.rare: dict[int, dict[int, int]] = {}
+        link, length, last = [-1], [0], 0
+        dense, rare = self.dense, self.rare
+        for c in codes:
+            new = len(link)
+            dense.extend(none)
+            link.append(0)
+            length.append(length[last] + 1)
+            p = last
+            if c < width:
+                while p >= 0 and dense[p * width + c] < 0:
+                    dense[p * width + c] = new
+                    p = link[p]
             else:
-                twin = len(nxt)
-                nxt.append(dict(nxt[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                link[q] = link[new] = twin
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = twin
+                while p >= 0 and c not in rare.get(p, ()):
+                    rare.setdefault(p, {})[c] = new
                     p = link[p]
-        last = new
-    return nxt
+            if p >= 0:
+                q = self.move(p, c)
+                if length[q] == length[p] + 1:
+                    link[new] = q
+                else:
+                    twin = len(link)
+                    dense.extend(dense[q * width : (q + 1) * width])
+                    if q in rare:
+                        rare[twin] = dict(rare[q])
+                    link.append(link[q])
+                    length.append(length[p] + 1)
+                    link[q] = link[new] = twin
+                    while p >= 0 and self.move(p, c) == q:
+                        if c < width:
+                            dense[p * width + c] = twin
+                        else:
+                            rare[p][c] = twin
+                        p = link[p]
+            last = new
+        self.states = len(link)
+
+    def move(self, state: int, c: int) -> int:
+        """The next state, or -1."""
+        return self.dense[state * self.width + c] if c < self.width else self.rare.get(state, {}).get(c, -1)
 
 
 class Moves(NamedTuple):
-    """A language's moves. Entries are the next state times CLASSES, with FLAG where a phrase starts."""
+    """A language's moves. Entries are the next state times the width, with FLAG where a phrase starts."""
 
-    dense: np.ndarray  #: by state times CLASSES plus class
-    keys: np.ndarray  #: state times `size` plus class, sorted, for classes from CLASSES on; a sentinel stands last
+    dense: np.ndarray  #: by state times `width` plus class
+    keys: np.ndarray  #: state times `size` plus class, sorted, for classes from `width` on; a sentinel stands last
     moves: np.ndarray  #: by key
-    starts: np.ndarray  #: the move of a class from CLASSES on where no key has one
+    starts: np.ndarray  #: the move of a class from `width` on where no key has one
+    width: int
     size: int  #: classes in all
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[list[str], np.ndarray, list[Moves]]:
     """Languages, the class of each code point, and the moves of each language."""
     is_letter = letters()
@@ -104,28 +126,26 @@ def model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[list[str],
     classes = np.where(is_letter, 0, 1).astype(np.int32)
     used = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
     classes[used] = np.arange(2, 2 + len(used))
-    size = max(CLASSES, 2 + len(used))
+    size = 2 + len(used)
+    width = min(CLASSES, size)
     tables = []
     for _, found in samples:
         codes: list[int] = []
         for t in found:
-            codes += classes[code_points(t)].tolist() + [-1]  # -1: no match runs from one text into the next
-        nxt = suffix_automaton(codes)
+            codes += classes[code_points(t)].tolist() + [0]  # no text has class 0: no match runs from one text into the next
+        made = Automaton(codes, width)
+        to = np.frombuffer(made.dense, np.int32).reshape(-1, width)
         start = np.full(size, FLAG, np.int32)
-        for c, to in nxt[0].items():
-            if c > 0:
-                start[c] = FLAG | to * CLASSES
-        rows = np.repeat(start[None, :CLASSES], len(nxt), axis=0)
-        rare = [(1 << 62, 0)]
-        for s, moves in enumerate(nxt):
-            if s:
-                for c, to in moves.items():
-                    if c >= CLASSES:
-                        rare.append((s * size + c, to * CLASSES))
-                    elif c > 0:
-                        rows[s, c] = to * CLASSES
-        rare.sort()
-        tables.append(Moves(rows.ravel(), np.array([k for k, _ in rare], np.int64), np.array([m for _, m in rare], np.int32), start[CLASSES:], size))
+        known = np.flatnonzero(to[0, 1:] >= 0) + 1
+        start[known] = FLAG | to[0, known] * width
+        for c, state in made.rare.get(0, {}).items():
+            start[c] = FLAG | state * width
+        dense = np.where(to >= 0, to * np.int32(width), start[None, :width])
+        dense[:, 0] = FLAG
+        dense[0] = start[:width]
+        rare = sorted([(s * size + c, state * width) for s, moves in made.rare.items() if s for c, state in moves.items()] + [(1 << 62, 0)])
+        tables.append(Moves(dense.ravel(), np.array([k for k, _ in rare], np.int64), np.array([m for _, m in rare], np.int32), start[width:], width, size))
+        del made, to, codes
     return [k for k, _ in samples], classes, tables
 
 
@@ -134,18 +154,18 @@ def stepped(columns: np.ndarray, sizes: np.ndarray, table: Moves, state: np.ndar
     state, count = state.copy(), np.zeros(len(sizes), np.int32)
     steps = int(sizes[0]) if len(sizes) else 0
     alive = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
-    odd = table.size > CLASSES
+    odd = table.size > table.width
     for j, n in enumerate(alive):
         codes = columns[j, :n]
         if odd:
-            rare = np.flatnonzero(codes >= CLASSES)
-            codes = np.minimum(codes, CLASSES - 1)
+            rare = np.flatnonzero(codes >= table.width)
+            codes = np.minimum(codes, table.width - 1)
         move = table.dense.take(state[:n] + codes)
         if odd and len(rare):
             c = columns[j, rare]
-            key = (state[rare] // CLASSES).astype(np.int64) * table.size + c
+            key = (state[rare] // table.width).astype(np.int64) * table.size + c
             at = np.searchsorted(table.keys, key)
-            move[rare] = np.where(table.keys[at] == key, table.moves[at], table.starts[c - CLASSES])
+            move[rare] = np.where(table.keys[at] == key, table.moves[at], table.starts[c - table.width])
         count[:n] += move >> 30
         np.bitwise_and(move, FLAG - 1, out=state[:n])
     return count, state

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .common import checkpoint, mix, raw, small_batches
-from .exchange import CHUNK, NO_ID, id_of, public_id, starts
+from .exchange import CHUNK, NO_ID, give_back, id_of, public_id, starts
 from .substrings import rolled, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -172,6 +172,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int, taken: i
     small_batches(docs.sparkSession)
 
     def run(batches):
+        give_back()
         for b in batches:
             found, made, group, size = raw(b.column(1)), [], [], 0
             for t in [*found, None]:
@@ -183,6 +184,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int, taken: i
                     size += len(t)
             prints = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary()), pa.array([n for n, _ in made], pa.int64()), pa.array([k for _, k in made], pa.list_(pa.int64()))], names=["id", "text", "n", "bands"])
+        give_back()
 
     return docs.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, text binary, n long, bands array<long>")
 

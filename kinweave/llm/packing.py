@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, joined_batches, small_batches
+from .exchange import give_back
 from .tokens import SPLIT_AT_ONCE, encoder
 
 WIDTH = 2048
@@ -154,6 +155,8 @@ def tokenised(docs: DataFrame, *, id_col: str, text_col: str, queue: Column, tok
                 seen[queue] = before[-1] + n[-1]
                 ids.append(squeeze(made.tobytes() + end))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64())], names=["id", "queue", "ids", "n", "part", "before"])
+        enc.forget()
+        give_back()
 
     return docs.select(F.col(id_col).alias("id"), queue.alias("queue"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, TOKENS.format(id=kind))
 

@@ -16,13 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker remembers: some 30 bytes each.
-CHUNKS = 600_000
+CHUNKS = 300_000
 #: Words that it remembers between two calls: some 150 bytes each.
-WORDS = 300_000
+WORDS = 150_000
 #: Chunks that go through the whole tokenizer at once.
 JOINED = 4000
 #: Bytes of text split at once.
-SPLIT_AT_ONCE = 4_000_000
+SPLIT_AT_ONCE = 2_500_000
 #: The parts for which chunks are independent, as they stand in the tokenizer's file.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -60,13 +60,18 @@ class Encoder:
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
-        self._keep(pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        self.forget()
 
     def _keep(self, names: pa.Array, values: np.ndarray, size: np.ndarray) -> None:
         self.names, self.values, self.size = names, values, size
         self.begin = np.cumsum(size) - size
         self.used = np.zeros(len(size), bool)
 
+    def forget(self) -> None:
+        """Gives back what was remembered: a worker lives on after its task."""
+        self.words.clear()
+        self._keep(pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64))
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 

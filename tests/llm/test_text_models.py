@@ -101,11 +101,11 @@ def test_without_labels(spark):
 def test_suffix_automaton_accepts_substrings_only():
     r = random.Random(1)
     text = [r.randint(2, 4) for _ in range(60)]
-    nxt = langid.suffix_automaton(text)
+    made = langid.Automaton(text, 4)
     inside = {tuple(text[i:j]) for i in range(60) for j in range(i + 1, min(60, i + 6) + 1)}
     for _ in range(500):
         s, want = 0, tuple(r.randint(2, 4) for _ in range(r.randint(1, 5)))
-        ok = all((s := nxt[s].get(c, -1)) >= 0 for c in want)
+        ok = all((s := made.move(s, c)) >= 0 for c in want)
         assert ok == (want in inside)
 
 
