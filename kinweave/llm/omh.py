@@ -17,8 +17,8 @@ hold several classes are looked at again: up to SMALL texts with all pairs acros
 with one more hub, the best-connected text of the classes without one. The texts of large buckets that hold several
 classes even then are joined by prefixes: similar texts have so many labelled shingles in common that, in any one
 order of all shingles, the first n - ceil(SIMILARITY n) + 1 of each hold a common one. The order is by frequency, so
-what templates share stands last and in no prefix. All pairs across classes that share a prefix shingle are verified:
-no link of a large bucket is missed. Texts that have rare shingles in common but differ in order cost a pair each.
+what templates share stands last and in no prefix. All pairs across classes that share a prefix shingle are verified,
+but for those of two texts that each belong to the largest class of all their buckets: no link of a large bucket is missed. Texts that have rare shingles in common but differ in order cost a pair each.
 
 With 16 bands of 2 sketches of 2 shingles a pair of similarity 0.8 meets with a probability of about 0.9998, and
 surely above 0.95; a link can be missed only there.
@@ -50,6 +50,8 @@ TAKEN, ROWS, BANDS = 2, 2, 16
 SMALL, ROUNDS = 16, 3
 #: Counters of shingles by hash: the order of a prefix join needs no exact frequencies.
 SLOTS = 1 << 18
+#: Shingles of minor texts that are broadcast, so that others only emit these: some 4 MB.
+WANTED = 500_000
 
 
 def shingles(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +223,8 @@ def ordered(a: Column, b: Column) -> list[Column]:
 
 
 def prefix_pairs(texts: DataFrame, words: DataFrame, shingle: int, least: float) -> DataFrame:
-    """texts: text, label. All pairs across labels that can be similar: those with a shingle in common among their rarest ones."""
-    held = checkpoint(texts.join(words, "text").select("text", "label", "z"))
+    """texts: text, label, minor. All pairs across labels, one text at least minor, that can be similar: those with a shingle in common among their rarest ones."""
+    held = checkpoint(texts.join(words, "text").select("text", "label", "minor", "z"))
 
     def own(z: bytes) -> np.ndarray:
         found, _ = word_hashes(np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8))
@@ -240,26 +242,41 @@ def prefix_pairs(texts: DataFrame, words: DataFrame, shingle: int, least: float)
     for r in held.select("z").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # SLOTS rows at most
         frequency[r["slot"]] = r["n"]
 
-    def prefixes(batches):
-        for b in batches:
-            first, many, sizes = [], [], []
-            for z in b.column(2).to_pylist():
-                values = own(z)
-                n = len(values)
-                rarest = np.lexsort((values, frequency[(values % np.uint64(SLOTS)).astype(np.int64)]))
-                first.append(values[rarest[: n - math.ceil(least * n - 1e-9) + 1]])
-                many.append(len(first[-1]))
-                sizes.append(n)
-            take = pa.array(np.repeat(np.arange(len(many)), many), pa.int64())
-            keys = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(take), b.column(1).take(take), pa.array(sizes, pa.int64()).take(take)], names=["shingle", "text", "label", "n"])
-
-    made = held.mapInArrow(prefixes, "shingle long, text binary, label binary, n long")
-    shared = made.groupBy("shingle").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("shingle")
-    made = checkpoint(made.join(shared, "shingle", "left_semi"))
-    other = made.select("shingle", F.col("text").alias("text2"), F.col("label").alias("label2"), F.col("n").alias("n2"))
+    def made(texts: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+        """The prefixes, shingle by shingle; if given, only the wanted (sorted) ones."""
+
+        def run(batches):
+            for b in batches:
+                first, many, sizes = [], [], []
+                for z in b.column(3).to_pylist():
+                    values = own(z)
+                    n = len(values)
+                    rarest = np.lexsort((values, frequency[(values % np.uint64(SLOTS)).astype(np.int64)]))
+                    found = values[rarest[: n - math.ceil(least * n - 1e-9) + 1]]
+                    if wanted is not None:
+                        found = found[np.isin(found, wanted)]
+                    first.append(found)
+                    many.append(len(found))
+                    sizes.append(n)
+                take = pa.array(np.repeat(np.arange(len(many)), many), pa.int64())
+                keys = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(i).take(take) for i in range(3)), pa.array(sizes, pa.int64()).take(take)], names=["shingle", "text", "label", "minor", "n"])
+
+        return texts.select("text", "label", "minor", "z").mapInArrow(run, "shingle long, text binary, label binary, minor boolean, n long")
+
+    few = checkpoint(made(held.where("minor"), None))
+    many = few.select("shingle").distinct()
+    wanted = None
+    if many.count() <= WANTED:
+        wanted = np.sort(np.array([r["shingle"] for r in many.collect()], np.int64).view(np.uint64))
+    every = few.union(made(held.where("not minor"), wanted))
+    every = checkpoint(every)
+    shared = every.groupBy("shingle").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("minor").alias("minor")).where("l1 <> l2 and minor").select("shingle")
+    every = checkpoint(every.join(shared, "shingle", "left_semi"))
+    other = every.select("shingle", F.col("text").alias("text2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("minor").alias("minor2"))
     long_enough = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9
-    return made.join(other, "shingle").where((F.col("label") < F.col("label2")) & long_enough).select(*ordered(F.col("text"), F.col("text2"))).distinct()
+    apart = (F.col("label") != F.col("label2")) & (~F.col("minor2") | (F.col("text") < F.col("text2")))  # two minor texts meet once
+    return every.where("minor").join(other, "shingle").where(apart & long_enough).select(*ordered(F.col("text"), F.col("text2"))).distinct()
 
 
 def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, small: int, rounds: int) -> DataFrame:
@@ -275,7 +292,7 @@ def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, smal
 
     def mixed() -> DataFrame:
         """The entries of buckets that hold several classes: what connects those is all that can matter."""
-        label = components(found)
+        label = components(found, rounds=2)  # classes as far as two rounds find them: stars, whole
         classed = entries.join(label.withColumnRenamed("node", "text"), "text", "left").select("key", "text", "size", "degree", F.coalesce("label", "text").alias("label"))
         keys = classed.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key")
         return checkpoint(classed.join(keys, "key", "left_semi"))
@@ -300,7 +317,12 @@ def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, smal
         if good.isEmpty():
             continue
         found = checkpoint(found.union(good))
-    rest = checkpoint(mixed().where(F.col("size") > small).select("text", "label").distinct())
+    rest = mixed().where(F.col("size") > small)
+    # of two texts of different classes in a bucket one isn't of its largest class
+    shares = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = shares.groupBy("key").agg(F.max(F.struct("n", "label")).alias("x")).select("key", F.col("x.label").alias("largest"))
+    rest = rest.join(largest, "key").groupBy("text", "label").agg(F.max(F.col("label") != F.col("largest")).alias("minor"))
+    rest = checkpoint(rest)
     if not rest.isEmpty():
         new = prefix_pairs(rest, words, shingle, least).join(tried, ["a", "b"], "left_anti")
         found = found.union(checkpoint(verified(new, words, shingle, least)))
