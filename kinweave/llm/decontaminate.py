@@ -9,7 +9,8 @@ The two masks of weight 6 hit every window of 13 words with up to two replaced w
 with fewer words than a window have masks of their own by their length: cut into two parts more than words may differ,
 and a mask for each choice of so many parts that it leaves out. Whichever places differ, one mask has none of them.
 
-The benchmark's side is broadcast up to BROADCAST_ROWS seeds, counted before; beyond, both sides are shuffled.
+The benchmark's side is broadcast up to BROADCAST_ROWS seeds, counted before; beyond, both sides are shuffled. So
+are the documents' hits up to BROADCAST_HITS, for which no text is shuffled then.
 
 Cases: null and empty texts, and items without words, match nothing; a null id is passed on; rows repeated under
 one id give one row an item; ties between places go to the better, then the earlier one; very long texts are read
@@ -24,10 +25,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+from .lines import let
+
 MASKS = ("11110011", "11010111")
 WINDOW, SIMILARITY = 13, 0.8
-#: Seeds (hash, item, place) up to which the benchmark is broadcast: some 100 MB.
-BROADCAST_ROWS = 2_000_000
+#: Seeds (hash, item, place) up to which the benchmark is broadcast, and hits up to which they are: some 100 and 10 MB.
+BROADCAST_ROWS, BROADCAST_HITS = 2_000_000, 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -46,7 +50,6 @@ def short_masks(n: int, similarity: float) -> set[str]:
 def seeds(words: Column, masks: list[str], wanted: list[Column] | None = None) -> Column:
     """For each mask (that is wanted) and window the hash and the window's first word: array<struct<place, seed>>."""
 
-
     def of(k: int, mask: str) -> Column:
         at = [j for j, c in enumerate(mask) if c == "1"]
         hashed = F.transform(F.sequence(F.lit(0), F.size(words) - len(mask)), lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(k), *[F.get(words, i + j) for j in at]).alias("seed")))
@@ -68,15 +71,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     wanted = items.select("item", F.explode(seeds(F.col("iw"), every, of_item)).alias("s")).select("item", F.col("s.place").alias("at"), F.col("s.seed").alias("seed"))
     few = wanted.count() <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda df: df)
-    texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
-    emitted = texts.select("id", F.explode(seeds(F.col("w"), every)).alias("s")).select("id", "s.place", "s.seed")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    emitted = texts.select("id", words_of(F.col("t")).alias("w")).select("id", F.explode(seeds(F.col("w"), every)).alias("s")).select("id", "s.place", "s.seed")
+    sizes = items.select("item", size.alias("n"))
     hits = emitted.join(small(wanted), "seed").select("id", "item", (F.col("place") - F.col("at")).alias("offset")).distinct()
-    by_doc = hits.groupBy(F.col("id").alias("hit_id")).agg(F.collect_list(F.struct("item", "offset")).alias("hits"))
+    hits = checkpoint(hits.join(small(sizes), "item"))
+    # the words beside each hit, taken out of a document's words at once
+    by_doc = hits.groupBy(F.col("id").alias("hit_id")).agg(F.collect_list(F.struct("item", "offset", "n")).alias("hits"))
+    by_doc = F.broadcast(by_doc) if hits.count() <= BROADCAST_HITS else by_doc
     both = texts.join(by_doc, F.col("id").eqNullSafe(F.col("hit_id")))
-    laid = both.select("id", "w", F.explode("hits").alias("hit")).select("id", "w", "hit.item", "hit.offset").join(small(items), "item")
+    beside = lambda w: F.transform("hits", lambda h: F.struct(h["item"], h["offset"], F.transform(F.sequence(F.lit(0), h["n"] - 1), lambda j: F.get(w, h["offset"] + j)).alias("w")))
+    laid = both.select("id", F.explode(let(words_of(F.col("t")), beside)).alias("h")).select("id", "h.item", "h.offset", "h.w").join(small(items), "item")
     n = F.size("iw")
     span = F.least(n, F.lit(window))
-    same = F.transform("iw", lambda x, j: F.when(F.get("w", F.col("offset") + j) == x, 1).otherwise(0))
+    same = F.zip_with("iw", "w", lambda x, y: F.when(x == y, 1).otherwise(0))
     laid = laid.select("id", "item", "offset", n.alias("n"), span.alias("span"), same.alias("same"))
     counts = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("span")), lambda s: F.struct(F.aggregate(F.slice("same", s + 1, F.col("span")), F.lit(0), lambda a, x: a + x).alias("matched"), (-(F.col("offset") + s)).alias("back")))
     laid = laid.select("id", "item", "span", F.array_max(counts).alias("best"))
