@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import ADDRESS_PARTS
-from .constants import HONORIFICS, NICKNAMES, TIERS
+from .constants import NICKNAMES, TIERS
 
 c = F.col
 
@@ -44,38 +44,6 @@ def phone_kind(types: Column, label: Column) -> Column:
     )
 
 
-def tel_uri(raw: Column) -> Column:
-    """tel: URIs as numbers; of their parameters only a non-empty extension stays."""
-    t = F.trim(raw)
-    rest = F.split(F.substr(t, F.lit(5)), ";")
-    number = F.trim(F.get(rest, F.lit(0)))
-    said = F.filter(F.transform(F.slice(rest, F.lit(2), F.greatest(F.size(rest), F.lit(1))), lambda p: F.trim(p)), lambda p: p.startswith("ext="))
-    ext = F.substr(F.get(said, F.lit(0)), F.lit(5))
-    return F.when(F.lower(F.left(t, F.lit(4))) != "tel:", t).when(F.coalesce(ext, F.lit("")) != "", F.concat(number, F.lit(" ext. "), ext)).otherwise(number)
-
-
-def apple_label(raw: Column) -> Column:
-    """_$!<Mobile>!$_ is Mobile."""
-    return F.regexp_replace(F.trim(raw), r"(?s)^_\$!<(.*)>!\$_$", "$1")
-
-
-def clean_date(raw: Column) -> Column:
-    """YYYY-MM-DD or --MM-DD where that can be told, null for nothing and placeholders, else as written."""
-    s = F.split_part(F.trim(raw), F.lit("T"), F.lit(1))
-    d = digits(s)
-    in_range = lambda m, day: F.coalesce(m.try_cast("int").between(1, 12) & day.try_cast("int").between(1, 31), F.lit(False))
-    sub = lambda x, at, n: F.substring(x, at, n)
-    yearless = F.when((F.length(d) == 4) & in_range(sub(d, 1, 2), sub(d, 3, 2)), F.concat(F.lit("--"), sub(d, 1, 2), F.lit("-"), sub(d, 3, 2)))
-    parts = F.split(s, "/")
-    m, day, y = (F.get(parts, F.lit(i)) for i in range(3))
-    numeric = m.rlike("^[0-9]+$") & day.rlike("^[0-9]+$")
-    padded = lambda x: F.when(F.length(x) < 2, F.lpad(x, 2, "0")).otherwise(x)
-    slashed = F.when((F.size(parts) == 3) & (F.length(y) == 4) & numeric & in_range(m, day), F.concat(y, F.lit("-"), padded(m), F.lit("-"), padded(day)))
-    plain = F.when((F.length(d) == 8) & in_range(sub(d, 5, 2), sub(d, 7, 2)), F.concat(sub(d, 1, 4), F.lit("-"), sub(d, 5, 2), F.lit("-"), sub(d, 7, 2)))
-    told = F.when(s.startswith("--"), yearless).when(s.contains("/"), slashed).otherwise(plain)
-    return F.when(s.rlike(r"^[0/.\-]*$"), None).otherwise(F.coalesce(told, s))
-
-
 def birthday_triple(date: Column) -> Column:
     """(year, month, day), year 0 where unknown; null where these aren't numbers."""
     yearless, full = r"^--(\+?[0-9]+)-(\+?[0-9]+)$", r"^(\+?[0-9]+)-(\+?[0-9]+)-(\+?[0-9]+)(?:-.*)?$"
@@ -101,6 +69,29 @@ def address_display(a: Column) -> Column:
     return joined_parts([a[p] for p in ADDRESS_PARTS], ", ")
 
 
+def address_line(a: Column) -> Column:
+    """For people: place, region and postal code stand together without commas."""
+    city = joined_parts([a[p] for p in ("locality", "region", "postal_code")], " ")
+    return joined_parts([a["po_box"], a["extended"], a["street"], city, a["country"]], ", ")
+
+
+def work_line(title: Column, org: Column, department: Column) -> Column:
+    """Job, company and department."""
+    return joined_parts([title, org, department], ", ")
+
+
+def birthday_text(date: Column) -> Column:
+    """A date as it is; one without a year in words."""
+    month = F.date_format(F.to_date(F.concat(F.lit("2000-"), F.substring(date, 3, 2), F.lit("-01"))), "MMMM")
+    return F.when(date.rlike("^--(0[1-9]|1[0-2])-[0-9]{2}$"), F.concat(F.substring(date, 6, 2).cast("int").cast("string"), F.lit(" "), month, F.lit(", no year"))).otherwise(date)
+
+
+def photo_url(photo: Column) -> Column:
+    """A picture as a data: URL, or its link."""
+    data = F.concat(F.lit("data:"), photo["mime"], F.lit(";base64,"), F.replace(F.base64(photo["bytes"]), F.lit("\r\n"), F.lit("")))
+    return F.when(photo["kind"] == "data", data).otherwise(photo["uri"])
+
+
 def is_empty_contact() -> Column:
     """Nothing worth keeping in a contact row."""
     none = lambda col: F.forall(c(col), lambda f: ~nonblank(f["value"]))
@@ -108,11 +99,6 @@ def is_empty_contact() -> Column:
     return (display_name(c("formatted_name"), c("name"), c("org")) == "") & nothing & ~nonblank(c("note")) & c("birthday").isNull() & c("photo").isNull()
 
 
-def url_key(raw: Column) -> Column:
-    """Lower case without https://, http://, www. (each as often as it stands there) and trailing slashes."""
-    return F.regexp_replace(F.lower(F.trim(raw)), r"^(https://)*(http://)*(www\.)*|/+$", "")
-
-
 def tier_of(score: Column) -> Column:
     """sure, likely, check or null, by 32-bit comparison."""
     s, out = score.cast("float"), F.lit(None).cast("string")
@@ -132,44 +118,6 @@ def canonical_names(given: Column) -> Column:
     return F.array_union(F.array(given), F.coalesce(F.try_element_at(table, given), F.array().cast("array<string>")))
 
 
-def name_quality(key: Column, shown: Column, folded: Column) -> Column:
-    """How good a name is to keep. key: kind, given, family; folded: shown without brackets, folded."""
-    count = lambda condition, points: F.when(condition, F.lit(points)).otherwise(0)
-    letters, words = F.regexp_replace(shown, r"[^\p{L}]", ""), F.split(folded, " ")
-    one_case = (F.length(letters) > 1) & (letters.rlike(r"^\p{Ll}+$") | letters.rlike(r"^\p{Lu}+$"))
-    kind = F.when(key["kind"] == "person", 10).when(key["kind"] == "company", 6).when(key["kind"] == "role", 3).otherwise(0)
-    points = kind + count(key["family"] != "", 4) - count((F.length(key["given"]) == 1) | (F.length(key["family"]) == 1), 5) - count(one_case, 1)
-    points = points - count((F.size(words) > 1) & F.get(words, F.lit(0)).isin(*sorted(HONORIFICS)), 1) - count(shown.rlike(r"[(\[]"), 3)
-    return points - count(F.size(canonical_names(key["given"])) > 1, 2) + F.floor(F.least(F.length(key["given"]), F.lit(8)) / 3).cast("int")
-
-
-def ascii_fold(text: Column) -> Column:
-    """fold() for texts in ASCII."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "['`]", ""), "[^a-z0-9]+", " "))
-
-
-def drop_brackets(text: Column) -> Column:
-    """Text outside of brackets, by a depth count over its characters."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
-
-    def step(state: Column, ch: Column) -> Column:
-        opening, closing = ch.isin("(", "[", "{"), ch.isin(")", "]", "}")
-        depth = F.when(opening, state["depth"] + 1).when(closing, F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
-        return F.struct(depth.alias("depth"), F.when(opening | closing | (state["depth"] > 0), state["out"]).otherwise(F.concat(state["out"], ch)).alias("out"))
-
-    return F.aggregate(F.split(text, ""), start, step, lambda s: s["out"])
-
-
-def esc(text: Column) -> Column:
-    """vCard 3.0 text escaping."""
-    out = F.regexp_replace(text, r"([\\,;])", r"\\$1")
-    return F.regexp_replace(out, "\r\n|\r|\n", r"\\n")
-
-
-def param_value(v: Column) -> Column:
-    return F.when(v.rlike("[:;,]"), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit("'")), F.lit('"'))).otherwise(v)
-
-
 def percent(n: Column, d: Column) -> Column:
     """n of d with one decimal, or n/a."""
     return F.when(d == 0, "n/a").otherwise(F.concat(F.format_number(100 * n / d, 1), F.lit("%")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,20 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: names.fold(t or ""))
 
 
+def each(function: Callable, kind: T.DataType = T.StringType()) -> Callable[[Column], Column]:
+    """A plain function of one value, or of a struct's fields as a dictionary, over Arrow batches; null stays null."""
+
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else function(v))
+
+    @F.pandas_udf(kind)
+    def run_rows(values: pd.DataFrame) -> pd.Series:
+        return pd.Series([function(r) for r in values.to_dict("records")])
+
+    return lambda column, struct=False: (run_rows if struct else run)(column)
+
+
 @F.pandas_udf(NAME_KEY)
 def _name_key(given: pd.Series, family: pd.Series, formatted: pd.Series, org: pd.Series) -> pd.DataFrame:
     rows = [names.name_key(*(x or "" for x in r)) for r in zip(given, family, formatted, org, strict=True)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_names
 from ..functions.constants import MAX_BLOCK
+from .checkpoints import checkpoint
 
 
 def block_keys() -> Column:
@@ -33,6 +34,6 @@ def capped_keys(prepared: DataFrame, cap: int = MAX_BLOCK) -> DataFrame:
 
 def candidates(prepared: DataFrame, cap: int = MAX_BLOCK) -> DataFrame:
     """Distinct pairs (a < b) that share a key."""
-    keys = capped_keys(prepared, cap)
+    keys = checkpoint(capped_keys(prepared, cap))
     a, b = keys.select("key", F.col("id").alias("a")), keys.select("key", F.col("id").alias("b"))
     return a.join(b, "key").where("a < b").select("a", "b").distinct()

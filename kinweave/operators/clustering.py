@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import tier_of
 from ..functions.names import NameKey, compare
+from ..functions.udfs import compare_names
 from .checkpoints import checkpoint
 from .components import components
 
@@ -55,29 +54,46 @@ def cluster(pairs: DataFrame, prepared: DataFrame, not_duplicates: DataFrame | N
     """group (its least member), members, score and tier.
 
     Groups never leave their connected component of scored pairs, and the order of pairs within one is that of all, so
-    each component is agglomerated by itself, in parallel, with the same result. not_duplicates: (a, b) never to be
-    joined, in either order.
+    each component is agglomerated by itself, in parallel, with the same result. Components of two are one comparison;
+    larger ones are a row of an Arrow batch each. not_duplicates: (a, b) never to be joined, in either order.
     """
     edges = checkpoint(pairs.select("a", "b", "score"))
     label = checkpoint(components(edges))
-    apart = None
+    sizes = label.groupBy("label").agg((F.count(F.lit(1)) == 2).alias("two"))
+    home = label.join(sizes, "label").select(F.col("node").alias("id"), "label", "two")
+    people = checkpoint(prepared.select("id", "name", "birthday").join(home, "id"))
+    inside = edges.join(home.withColumnRenamed("id", "a"), "a").withColumn("apart", F.lit(False))
     if not_duplicates is not None:
-        apart = not_duplicates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    inside = edges.join(label.select(F.col("node").alias("a"), "label"), "a").select("label", "a", "b", "score", F.lit(False).alias("apart"))
-    if apart is not None:
-        near = apart.join(label.select(F.col("node").alias("a"), "label"), "a").select("label", "a", "b", F.lit(0).cast("float").alias("score"), F.lit(True).alias("apart"))
+        pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        apart = not_duplicates.select(*pair).distinct()
+        near = apart.join(home.withColumnRenamed("id", "a"), "a").select("a", "b", F.lit(0).cast("float").alias("score"), "label", "two", F.lit(True).alias("apart"))
         inside = inside.unionByName(near)
-    people = prepared.select("id", "name", "birthday").join(label.select(F.col("node").alias("id"), F.col("label").alias("home")), "id").select("home", "id", "name", "birthday")
+    inside = checkpoint(inside)
+
+    side = lambda s: people.where("two").select(F.col("id").alias(s), F.col("name").alias("n" + s), F.col("birthday").alias("d" + s))
+    both = inside.where("two").groupBy("a", "b").agg(F.max("score").alias("score"), F.max("apart").alias("apart"), F.min("apart").alias("only"))
+    both = both.where("not apart and not only").join(side("a"), "a").join(side("b"), "b")
+    days = F.coalesce((F.col("da.m") != F.col("db.m")) | (F.col("da.d") != F.col("db.d")), F.lit(False))
+    alone = both.where(~days).where(compare_names(F.col("na"), F.col("nb")) != "different")
+    least = F.least("a", "b")
+    couples = alone.select(least.alias("group"), F.array(least, F.greatest("a", "b")).alias("members"), "score")
 
-    def run(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+    found = inside.where("not two").groupBy("label").agg(F.collect_list(F.struct("a", "b", "score", "apart")).alias("edges"))
+    who = people.where("not two").groupBy("label").agg(F.collect_list(F.struct("id", "name", "birthday")).alias("people"))
+
+    def run(batches):
         day = lambda b: None if b is None else (b["m"], b["d"])
-        who = {int(i): {"name": NameKey(*(n[f] for f in NameKey._fields)), "birthday": day(b)} for i, n, b in zip(nodes["id"], nodes["name"], nodes["birthday"], strict=True)}
-        rows = list(zip(edges["a"].tolist(), edges["b"].tolist(), edges["score"].tolist(), edges["apart"].tolist(), strict=True))
-        found = agglomerate(who, [r[:3] for r in rows if not r[3]], {r[:2] for r in rows if r[3]})
-        return pd.DataFrame([(m[0], m, s) for m, s in found.values()], columns=["group", "members", "score"])
+        schema = pa.schema([("group", pa.int64()), ("members", pa.list_(pa.int64())), ("score", pa.float32())])
+        for batch in batches:
+            out = []
+            for rows, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                known = {n["id"]: {"name": NameKey(*(n["name"][f] for f in NameKey._fields)), "birthday": day(n["birthday"])} for n in nodes}
+                joined = agglomerate(known, [(r["a"], r["b"], r["score"]) for r in rows if not r["apart"]], {(r["a"], r["b"]) for r in rows if r["apart"]})
+                out += [(m[0], m, s) for m, s in joined.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    groups = inside.groupBy("label").cogroup(people.groupBy("home")).applyInPandas(run, "group long, members array<long>, score float")
-    return groups.withColumn("tier", tier_of(F.col("score")))
+    larger = found.join(who, "label").select("edges", "people").mapInArrow(run, "group long, members array<long>, score float")
+    return couples.unionByName(larger).withColumn("tier", tier_of(F.col("score")))
 
 
 def ordered(groups: DataFrame) -> DataFrame:
@@ -97,5 +113,3 @@ def member_pairs(groups: DataFrame) -> DataFrame:
     """All pairs a < b of each group's members."""
     of = groups.select("group", F.explode("members").alias("id"))
     return of.select("group", F.col("id").alias("a")).join(of.select("group", F.col("id").alias("b")), "group").where("a < b").select("a", "b")
-
-

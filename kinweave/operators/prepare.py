@@ -9,13 +9,20 @@ from ..functions import columns as K
 from ..functions import udfs
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that Spark estimates to be small is dealt out to all cores, as Python functions follow; larger ones have partitions enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * (64 << 20) else df
+
+
 def prepare(contacts: DataFrame, region: str = "US") -> DataFrame:
     """id, name (kind, given, family, org), display, phones (key, display, has_country, tail, kind), emails, birthday (y, m, d).
 
     Phones are distinct by key, the first copy wins; of emails only neighbours that are equal are one.
     """
     c = F.col
-    df = contacts.select(
+    df = spread(contacts).select(
         "id",
         udfs.name_key(c("name"), c("formatted_name"), c("org")).alias("name"),
         K.display_name(c("formatted_name"), c("name"), c("org")).alias("display"),

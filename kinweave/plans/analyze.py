@@ -48,7 +48,8 @@ def analyze(contacts: DataFrame, region: str = "US", not_duplicates: DataFrame |
     shared = checkpoint(shared_identifiers(prepared))
     known = checkpoint(with_shared(prepared, shared))
     pairs = checkpoint(scored_pairs(candidates(prepared), known))
-    return Analysis(prepared, shared, pairs, cluster(pairs, prepared, not_duplicates), problems(contacts, region))
+    groups = checkpoint(cluster(pairs, prepared, not_duplicates))
+    return Analysis(prepared, shared, pairs, groups, problems(contacts, region))
 
 
 def shown_ids(analysis: Analysis) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import percent
+from ..functions.columns import display_name, percent
 from ..operators.clustering import member_pairs
 
 LEVELS = {"sure": ["sure"], "sure+likely": ["sure", "likely"], "all": ["sure", "likely", "check"]}
@@ -37,6 +37,21 @@ def wrong_and_missed(groups: DataFrame, truth: DataFrame) -> tuple[DataFrame, Da
     return found.exceptAll(true), true.exceptAll(found)
 
 
+def first_missed(groups: DataFrame, truth: DataFrame, contacts: DataFrame, limit: int) -> DataFrame:
+    """The first pairs of one person that weren't found, in id order, with what a reader needs to see why."""
+    who = lambda s: contacts.select(F.col("id").alias(s), F.struct(display_name(F.col("formatted_name"), F.col("name"), F.col("org")).alias("name"), F.transform("phones", lambda p: p["value"]).alias("phones"), F.transform("emails", lambda e: e["value"]).alias("emails")).alias("contact_" + s))
+    missed = wrong_and_missed(groups, truth)[1].orderBy("a", "b").limit(limit)
+    return missed.join(who("a"), "a").join(who("b"), "b").orderBy("a", "b")
+
+
+def first_wrong(groups: DataFrame, pairs: DataFrame, truth: DataFrame, limit: int) -> DataFrame:
+    """The first pairs of different people that stand in one group, in id order, with the group's tier and the pair's evidence, if it was scored."""
+    wrong = wrong_and_missed(groups, truth)[0].orderBy("a", "b").limit(limit)
+    tier = groups.select("tier", F.explode("members").alias("a"))
+    why = pairs.select("a", "b", F.array_join(F.transform("evidence", lambda e: e["text"]), "; ").alias("why"))
+    return wrong.join(tier, "a").join(why, ["a", "b"], "left").select("a", "b", "tier", "why").orderBy("a", "b")
+
+
 def trap_table(groups: DataFrame, truth: DataFrame, traps: DataFrame) -> DataFrame:
     """traps: kind, person1, person2. For each kind: pairs of people, grouped together at all, and as sure."""
     of = groups.select("group", "tier", F.explode("members").alias("id")).join(truth, "id").select("group", "tier", "person")

@@ -26,29 +26,49 @@ def group_rows(analysis: Analysis, contacts: DataFrame) -> DataFrame:
     return ordered(rows)
 
 
-def json_report(analysis: Analysis, contacts: DataFrame, issues: DataFrame, files: DataFrame, region: str, top: int | None = None) -> str:
-    """The report as JSON. top: at most so many groups (all by default); the driver holds what is reported."""
+def json_report(analysis: Analysis, contacts: DataFrame, issues: DataFrame, files: DataFrame, region: str, top: int | None = None, summary: DataFrame | None = None) -> str:
+    """The report as JSON. top: at most so many groups (all by default); the driver holds what is reported. summary: of apply_merges."""
     groups = group_rows(analysis, contacts)
     groups = groups.limit(top) if top is not None else groups
     rows = lambda df: [json.loads(r) for r in df.toJSON().collect()]
     p = analysis.problems
-    return json.dumps(
-        {
-            "files": rows(files), "issues": rows(issues), "region": region, "groups": rows(groups), "shared": rows(analysis.shared.orderBy("key")),
-            "problems": {"no_name": rows(p.no_name.orderBy("id")), "no_country": rows(p.no_country.orderBy("id", "number")), "empty": rows(p.empty.orderBy("id"))},
-        }
-    )
+    report = {
+        "files": rows(files), "issues": rows(issues), "region": region, "groups": rows(groups), "shared": rows(analysis.shared.orderBy("key")),
+        "problems": {"no_name": rows(p.no_name.orderBy("id")), "no_country": rows(p.no_country.orderBy("id", "number")), "empty": rows(p.empty.orderBy("id"))},
+    }
+    if summary is not None:
+        report["summary"] = summary.first().asDict()
+    return json.dumps(report)
 
 
-def text_report(analysis: Analysis, contacts: DataFrame, top: int = 10) -> str:
-    """Groups per tier, the first groups with up to three explained pairs, and up to five shared identifiers with four holders."""
+def many(n: int, one: str, more: str) -> str:
+    return f"{n} {one if n == 1 else more}"
+
+
+def text_report(analysis: Analysis, contacts: DataFrame, top: int = 10, summary: DataFrame | None = None) -> str:
+    """Groups per tier, the first groups with up to three explained pairs, problems, up to five shared identifiers with four holders, and the summary."""
     counts = {r["tier"]: r["n"] for r in analysis.groups.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = ["groups: " + ", ".join(f"{counts.get(t, 0)} {t}" for t in ("sure", "likely", "check"))]
     for g in group_rows(analysis, contacts).limit(top).collect():
         out.append(f"[{g['tier']}] {g['score']:.2f} " + "; ".join(f"{m['name']} ({m['file']}:{m['line']})" for m in g["members"]))
-        out += ["    " + "; ".join(p["evidence"]) for p in g["pairs"][:3]]
+        names = {m["id"]: m["name"] for m in g["members"]}
+        for p in g["pairs"][:3]:
+            which = f"{names[p['a']]} and {names[p['b']]}: " if len(names) > 2 else ""
+            out.append("    " + which + "; ".join(p["evidence"]))
+        if len(g["pairs"]) > 3:
+            out.append(f"    and {len(g['pairs']) - 3} pairs more")
+    if sum(counts.values()) > top:
+        out.append(f"and {sum(counts.values()) - top} groups more")
+    p = analysis.problems
+    n = [df.count() for df in (p.no_name, p.no_country, p.empty)]
+    found = [many(n[0], "contact without a name", "contacts without a name"), many(n[1], "number that lacks its country", "numbers that lack their country"), many(n[2], "contact with nothing in it", "contacts with nothing in them")]
+    if any(n):
+        out.append("problems: " + ", ".join(t for t, k in zip(found, n, strict=True) if k))
     for s in analysis.shared.orderBy("key").limit(5).collect():
         out.append(f"shared: {s['display']} by {', '.join(map(str, s['contacts'][:4]))}{' and others' if len(s['contacts']) > 4 else ''}")
+    if summary is not None:
+        r = summary.first()
+        out.append(f"summary: {r['contacts_in']} contacts in, {r['contacts_out']} out, {many(r['groups_merged'], 'group', 'groups')} merged, {r['empty_dropped']} empty left out")
     return "\n".join(out)
 
 

@@ -83,16 +83,38 @@ class Review:
         by = [d.decision for d in self.drafts]
         return {"merge": by.count("merge"), "apart": by.count("apart"), "open": by.count(None)}
 
-    def dump(self) -> str:
-        return json.dumps({"at": self.at, "drafts": [[d.decision, sorted(d.removed), list(d.choices)] for d in self.drafts]})
+    def dump(self, fingerprint: str = "") -> str:
+        """The state to save, under the fingerprint of the files that it is about."""
+        return json.dumps({"of": fingerprint, "at": self.at, "drafts": [[d.decision, sorted(d.removed), list(d.choices)] for d in self.drafts]})
 
-    def load(self, text: str) -> Review:
-        """A saved state; what can't be read, or is of another book, gives the first state."""
+    def load(self, text: str, fingerprint: str = "") -> Review:
+        """A saved state; what can't be read, or is of other files or groups, gives the first state."""
         try:
             saved = json.loads(text)
+            if saved.get("of", "") != fingerprint:
+                raise ValueError
             drafts = tuple(Draft(d, frozenset(map(int, r)), tuple((str(k), int(v)) for k, v in c)) for d, r, c in saved["drafts"])
             if len(drafts) == len(self.groups) and all(d.decision in (None, "merge", "apart") for d in drafts):
                 return replace(self, drafts=drafts, at=int(saved["at"]), history=())
-        except (ValueError, TypeError, KeyError):
+        except (AttributeError, ValueError, TypeError, KeyError):
             pass
         return replace(self, drafts=tuple(Draft() for _ in self.groups), at=0, history=())
+
+
+# The keys of a review and what they do; digits take that member out, or back in.
+KEYS = {
+    "j": "next", "ArrowRight": "next", "k": "previous", "ArrowLeft": "previous", "Enter": "merge", "m": "merge", "n": "apart", "u": "undo", "A": "accept_sure",
+}
+
+
+def pressed(review: Review, key: str, *, control: bool = False, alt: bool = False) -> Review:
+    """The review after a key was pressed; other keys change nothing."""
+    if alt or control:
+        return review.undo() if control and not alt and key.lower() == "z" else review
+    if len(key) == 1 and key in "123456789":
+        own = review.groups[review.at][0]
+        return review.split(own[int(key) - 1]) if int(key) <= len(own) else review
+    does = KEYS.get(key)
+    if does in ("merge", "apart"):
+        return review.decide(does)
+    return getattr(review, does)() if does else review
