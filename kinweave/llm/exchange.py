@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import mix, partitions, planes, raw, small_batches, unplanes
 
 NO_ID = -(2**63)
+#: The kind of answers that are notes to the driver.
+NOTE = 3
 #: Keys that a task holds before it sends them.
 FLUSH = 1_000_000
 #: Bytes of text hashed at once.
@@ -147,22 +149,35 @@ class Bucket:
                     self.settled.append((kind, ids[doc], (place - first[doc]).astype(np.uint32)))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.keys, self.extra, self.docs, self.at = join(keys, np.uint64), join(extra, np.uint64), join(docs, np.int64), join(at, np.uint32)
+        self.notes = np.zeros(0, np.uint64)  # keys that decide() wants known to all tasks
 
-    def answers(self, found: list[tuple[int, np.ndarray, np.ndarray]], ways: int) -> Iterator[pa.RecordBatch]:
-        """found: kind, ids and places. A row for each kind and each of the `ways` that ids are dealt out to."""
-        for kind in (1, 2):
-            parts = [(d, p) for k, d, p in [*self.settled, *found] if k == kind and len(d)]
-            if not parts:
-                continue
-            docs, at = np.concatenate([d for d, _ in parts]), np.concatenate([p for _, p in parts])
-            way = mix(docs.view(np.uint64).copy()) % np.uint64(ways)
-            order = np.lexsort((at, docs, way))
-            docs, at, way = docs[order], at[order], way[order]
-            cut = np.append(np.flatnonzero(np.concatenate(([True], way[1:] != way[:-1]))), len(way))
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                first = np.flatnonzero(np.concatenate(([True], docs[lo + 1 : hi] != docs[lo : hi - 1])))
-                row = (int(way[lo]), kind, planes(np.diff(docs[lo:hi][first], prepend=np.int64(0))), planes(np.diff(np.append(first, hi - lo)).astype(np.uint32)), planes(at[lo:hi].copy()))
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, ANSWER_SCHEMA, strict=True)], schema=ANSWER_SCHEMA)
+
+def note(keys: np.ndarray) -> pa.RecordBatch:
+    """A row of kind NOTE, that goes to the driver: of at most a few keys a bucket."""
+    row = (-1, NOTE, keys.astype(np.uint64).tobytes(), b"", b"")
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, ANSWER_SCHEMA, strict=True)], schema=ANSWER_SCHEMA)
+
+
+def noted(answers: DataFrame) -> np.ndarray:
+    rows = answers.where(F.col("kind") == NOTE).select("ids").collect()
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["ids"], np.uint64) for r in rows)]))
+
+
+def dealt(found: list[tuple[int, np.ndarray, np.ndarray]], ways: int) -> Iterator[pa.RecordBatch]:
+    """found: kind, ids and places. A row for each kind and each of the `ways` that ids are dealt out to."""
+    for kind in (1, 2):
+        parts = [(d, p) for k, d, p in found if k == kind and len(d)]
+        if not parts:
+            continue
+        docs, at = np.concatenate([d for d, _ in parts]), np.concatenate([p for _, p in parts]).astype(np.uint32)
+        way = mix(docs.view(np.uint64).copy()) % np.uint64(ways)
+        order = np.lexsort((at, docs, way))
+        docs, at, way = docs[order], at[order], way[order]
+        cut = np.append(np.flatnonzero(np.concatenate(([True], way[1:] != way[:-1]))), len(way))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            first = np.flatnonzero(np.concatenate(([True], docs[lo + 1 : hi] != docs[lo : hi - 1])))
+            row = (int(way[lo]), kind, planes(np.diff(docs[lo:hi][first], prepend=np.int64(0))), planes(np.diff(np.append(first, hi - lo)).astype(np.uint32)), planes(at[lo:hi].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, ANSWER_SCHEMA, strict=True)], schema=ANSWER_SCHEMA)
 
 
 def send(docs: DataFrame, columns: list[str], emit: Callable, settle: Callable) -> DataFrame:
@@ -190,8 +205,11 @@ def answer(packed: DataFrame, decide: Callable[[Bucket], list]) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         give_back()
         bucket = Bucket(table)
-        found = list(bucket.answers(decide(bucket), ways))
-        return pa.Table.from_batches(found, schema=ANSWER_SCHEMA)
+        found = decide(bucket)
+        rows = list(dealt([*bucket.settled, *found], ways))
+        if len(bucket.notes):
+            rows.append(note(bucket.notes))
+        return pa.Table.from_batches(rows, schema=ANSWER_SCHEMA)
 
     return packed.groupBy("bucket").applyInArrow(run, ANSWER)
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import pytest
 
 from kinweave.llm import exchange, lines, substrings, suffixes
@@ -45,10 +47,11 @@ def brute_windows(rows, width):
     return out
 
 
-@pytest.mark.parametrize("flush,chunk", [(3_000_000, 1 << 18), (500, 700)])
-def test_suffixes(spark, monkeypatch, flush, chunk):
+@pytest.mark.parametrize("flush,chunk,hot,held", [(3_000_000, 1 << 18, 50_000, 1 << 24), (500, 700, 50_000, 9000), (900, 5000, 2, 20_000)])
+def test_suffixes(spark, monkeypatch, flush, chunk, hot, held):
     monkeypatch.setattr(exchange, "FLUSH", flush)
-    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    for name, value in (("CHUNK", chunk), ("HOT", hot), ("HELD", held), ("SORTED", 3 * hot)):
+        monkeypatch.setattr(suffixes, name, value)
     rows = documents()
     got = suffixes.dedup_suffixes(frame(spark, rows), depth=40, gram=12, with_text=True).collect()
     want = brute_suffixes(rows, 40)
@@ -58,6 +61,30 @@ def test_suffixes(spark, monkeypatch, flush, chunk):
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"]
 
 
+def test_radix_groups_equal_strings():
+    r = np.random.default_rng(1)
+    text = r.integers(0, 2, 4000).astype(np.uint8)
+    start, length = r.integers(0, 3900, 800), r.choice([5, 8, 9, 16], 800)
+    group = suffixes.radix(np.concatenate((text, np.zeros(8, np.uint8))), start, length, suffixes.numbered(length))
+    by = {}
+    for s, n, g in zip(start.tolist(), length.tolist(), group.tolist(), strict=True):
+        assert by.setdefault(text[s : s + n].tobytes(), g) == g
+    assert len(set(by.values())) == len(by)
+
+
+def test_suffixes_of_a_hot_passage_with_other_neighbours(spark, monkeypatch):
+    """The runs at a passage's ends differ in each of very many documents."""
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    r = random.Random(2)
+    own = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    passage = own(180)
+    rows = [(i, own(r.randint(0, 120)) + (passage if i % 2 else passage[r.randint(0, 40) :]) + own(r.randint(0, 120)), "en", "s", "", "", "", 0) for i in range(150)]
+    got = suffixes.dedup_suffixes(frame(spark, rows, 5)).collect()
+    want = brute_suffixes(rows, 100)
+    for x in got:
+        assert (x["n_bytes"], x["n_removed"], len(x["spans"]), x["kept_sha256"]) == want[x["doc_id"]]
+
+
 def test_substrings(spark):
     rows = documents()
     got = substrings.dedup_substrings(frame(spark, rows), width=6, with_text=True).collect()
