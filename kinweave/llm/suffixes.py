@@ -41,7 +41,7 @@ CHUNK = 1 << 18
 #: Low bits of a hash that give way to the place: more than a chunk and a piece have.
 LOW = np.uint64(24)
 #: Bytes of runs that a task holds before it sends them, and suffixes that a bucket sorts at once.
-HELD, SORTED = 16 << 20, 1_000_000
+HELD, SORTED = 16 << 20, 300_000
 #: Runs of a gram from which on it is hot, and the suffixes of a stretch of a hot gram's run.
 HOT, STRETCH = 50_000, 8
 SEGMENTS = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("ids", "docs", "firsts", "keys", "backs", "sizes", "bytes", "done_docs", "done_starts"))])
@@ -83,7 +83,7 @@ class Runs:
         use = valid[first]
         self.first, self.last = first[use], last[use]
         self.at = anchor[self.first]
-        self.gram = h[self.at]
+        self.gram = mix(h[self.at])  # least hashes are small: spread again, as buckets are ranges
         which = piece[self.first]
         self.text = np.array([t for t, _, _ in pieces], np.int64)[which]
         self.base = (np.array([b for _, b, _ in pieces], np.int64) - edges[:-1])[which]  # from the buffer to the text
