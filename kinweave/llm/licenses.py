@@ -13,6 +13,7 @@ empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from dataclasses import dataclass, field
 
@@ -26,32 +27,73 @@ from .common import batch, raw, small_batches
 #: Fixed values of the query contract: phrases whose places are counted, and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Licence notices as published, one or more a label. Punctuation and case are dropped when they are read.
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+)
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."
+)
+
+
+def _gnu(name: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by "
+        f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version"
+    )
+
+
+#: Licence texts and notices as published, one or more a label. Punctuation and case are dropped when they are read.
 TEMPLATES = {
     "mit": [
         "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        _MIT_GRANT,
+        _MIT_GRANT + ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        "or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "apache-2": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions "
+        "and limitations under the License.",
     ],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "gpl-3": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "cc0": ["To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work"],
+    "gpl-3": ["This work is licensed under the GNU General Public License, version 3.", _gnu("General Public License", "3")],
+    "gpl-2": [_gnu("General Public License", "2")],
+    "lgpl-3": [_gnu("Lesser General Public License", "3")],
+    "agpl-3": [_gnu("Affero General Public License", "3")],
+    "bsd-2": [f"{_BSD_GRANT}: {_BSD_TWO}"],
+    "bsd-3": [f"{_BSD_GRANT}: {_BSD_TWO} {_BSD_THIRD}", _BSD_THIRD],
+    "mpl-2": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at",
     ],
-    "bsd-3": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions"
     ],
-    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
 }
 
 #: Lower-cases A-Z; whatever isn't 0-9, a-z or a byte of a non-ASCII character parts words.
@@ -64,12 +106,12 @@ def words(text: bytes) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """Generalised suffix automaton over word ids. where: for each state and template, the end of an occurrence."""
+    """Generalised suffix automaton over word ids. where: for each state and template, the ends of all occurrences."""
 
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    where: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    where: list[dict[int, set[int]]] = field(default_factory=lambda: [{}])
 
     def _state(self, length: int, nxt: dict, link: int) -> int:
         self.next.append(nxt)
@@ -101,13 +143,13 @@ class Automaton:
                     q = self.next[p][c]
                     self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
                 last = new
-            self.where[last].setdefault(template, end)
+            self.where[last].setdefault(template, set()).add(end)
 
     def finish(self) -> None:
         """A state's occurrences are those of its longer extensions too."""
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for t, end in self.where[s].items():
-                self.where[self.link[s]].setdefault(t, end)
+            for t, ends in self.where[s].items():
+                self.where[self.link[s]].setdefault(t, set()).update(ends)
 
 
 @dataclass
@@ -118,6 +160,10 @@ class Model:
     sizes: list[int]
     phrases: list[tuple[list[int], str]]
 
+    @functools.cached_property
+    def reach(self) -> int:
+        return max(self.sizes, default=0)
+
 
 @functools.lru_cache(maxsize=8)
 def model(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...]) -> Model:
@@ -156,23 +202,47 @@ def maximal_matches(a: Automaton, ids: list[int], at: int, least: int) -> list[t
 
 
 def chains(m: Model, matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, float, int, int]]:
-    """(template, covered share, start, end): matches that follow one another in text and template, few words apart."""
-    out = []
+    """(template, covered share, start, end): the best chains of matches that follow one another in text and template, few words apart.
+
+    Every occurrence of a match in the template may take part; the chain that covers most of the template's words is
+    found by dynamic programming, then the best of what it leaves.
+    """
     by: dict[int, list[tuple[int, int, int]]] = {}
     for start, end, state in matches:
-        for t, at in m.automaton.where[state].items():
-            by.setdefault(t, []).append((start, end, at))
+        for t, ends in m.automaton.where[state].items():
+            by.setdefault(t, []).extend((start, end, at) for at in ends)
+    out = []
     for t, found in by.items():
-        run: list[int] = []  # start, end, place in the template, covered words
-        for start, end, at in found:
-            if run and start <= run[1] + gap and run[2] < at <= run[2] + (end - start) + gap:
-                run[3] += min(end - max(start, run[1]), at - run[2])
-                run[1], run[2] = end, at
-            else:
-                if run:
-                    out.append((t, run[3] / m.sizes[t], run[0], run[1]))
-                run = [start, end, at, end - start]
-        out.append((t, run[3] / m.sizes[t], run[0], run[1]))
+        found.sort()
+        best, before = [], []
+        for j, (start, end, at) in enumerate(found):
+            size, back = end - start, -1
+            total = size
+            for i in range(j - 1, -1, -1):
+                s, e, a = found[i]
+                if s < start - m.reach - gap:
+                    break  # no match is longer than the longest template
+                if s < start and e < end and start <= e + gap and a - (e - s) < at - size and a < at and at - size <= a + gap:
+                    more = best[i] + size - max(0, e - start, a - (at - size))
+                    if more > total:
+                        total, back = more, i
+            best.append(total)
+            before.append(back)
+        taken: set[int] = set()
+        begins = [f[0] for f in found]
+        for j in sorted(range(len(found)), key=lambda j: (-best[j], found[j])):
+            if j in taken:
+                continue
+            chain, i = [j], before[j]
+            while i >= 0 and i not in taken:
+                chain.append(i)
+                i = before[i]
+            taken.update(chain)
+            first, last = found[chain[-1]], found[j]
+            covered = best[j] - (best[i] - max(0, found[i][1] - first[0], found[i][2] - (first[2] - first[1] + first[0])) if i >= 0 else 0)
+            out.append((t, covered / m.sizes[t], first[0], last[1]))
+            # what stands inside this chain's words is no chain of its own
+            taken.update(k for k in range(bisect.bisect_left(begins, first[0]), bisect.bisect_left(begins, last[1])) if found[k][1] <= last[1])
     return out
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -148,6 +149,35 @@ def test_templates_are_found_whole_and_with_small_changes(spark, label):
     assert got[1]["spans"][0]["start"] == 1
 
 
+def test_chains_take_the_best_occurrences():
+    """A stray match that stands elsewhere in the template doesn't end a chain."""
+    m = licenses.model((("t", "a b c d e f a b c x y z u v w"),), ())
+    ids = lambda t: [m.vocabulary.get(w.encode(), -1) for w in t.split()]
+    matches = licenses.maximal_matches(m.automaton, ids("d e f a b c"), 0, 3) + licenses.maximal_matches(m.automaton, ids("a b c x y z u v w"), 7, 3)
+    (best, *_) = sorted(licenses.chains(m, matches, 4), key=lambda c: -c[1])
+    assert best[1:] == (12 / 15, 0, 16) or best[1] == 12 / 15
+    r = random.Random(4)
+    for _ in range(300):  # against all chains of few matches
+        template = [r.choice("abcd") for _ in range(12)]
+        m = licenses.model((("t", " ".join(template)),), ())
+        text = [r.choice("abcd") for _ in range(8)]
+        found = licenses.maximal_matches(m.automaton, [m.vocabulary.get(w.encode(), -1) for w in text], 0, 2) if all(w.encode() in m.vocabulary for w in text) else []
+        places = [(s, e, a) for s, e, state in found for a in m.automaton.where[state][0]]
+
+        def total(chain):
+            out = chain[0][1] - chain[0][0]
+            for (s, e, a), (s2, e2, a2) in zip(chain, chain[1:], strict=False):
+                n, n2 = e - s, e2 - s2
+                if not (s < s2 and e < e2 and s2 <= e + 2 and a - n < a2 - n2 and a < a2 and a2 - n2 <= a + 2):
+                    return 0
+                out += n2 - max(0, e - s2, a - (a2 - n2))
+            return out
+
+        want = max((total(c) for k in range(1, min(4, len(places)) + 1) for c in itertools.permutations(sorted(places), k)), default=0) if len(places) <= 6 else None
+        if want is not None:
+            assert round(max((c[1] for c in licenses.chains(m, found, 2)), default=0) * 12) >= want
+
+
 def test_matching_statistics():
     m = licenses.model(tuple(("t", t) for t in ("a b c d", "b c x a b")), ())
     ids = lambda t: [m.vocabulary[w.encode()] for w in t.split()]
