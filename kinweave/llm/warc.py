@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, own_dir, partitions, small_batches, texts
+from .common import batch, checkpoint, own_dir, partitions, small_batches, texts
 
 LEVEL = 5
 #: Payload bytes after which a new archive is begun.
@@ -236,6 +236,11 @@ def read_records(index: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame, *, folder: str | None = None, **columns) -> DataFrame:
-    """Writes pages into archives below folder, normalises them and returns the index."""
+    """Writes pages into archives below folder, normalises them and returns the index.
+
+    All files are written here, once: the paths and the index are tables, so reading the result again writes nothing.
+    A task that is run again writes its files over.
+    """
     folder = folder or own_dir(pages.sparkSession, "warc")
-    return normalise(write_archives(classify(pages, **columns), folder), folder)
+    written = checkpoint(write_archives(classify(pages, **columns), folder))
+    return checkpoint(normalise(written, folder))
