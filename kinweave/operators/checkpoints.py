@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -38,9 +39,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_tables(spark: SparkSession) -> None:
-    """Deletes the folders made so far in this process, when no result is to be read any more."""
+def remove_tables(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the folders made so far in this process, from the given number on, when no result is to be read any more."""
     jvm = spark.sparkContext._jvm
-    while _MADE:
+    while len(_MADE) > since:
         path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables made inside are deleted at its end: results have to be written, or collected, before."""
+    since = len(_MADE)
+    try:
+        yield
+    finally:
+        remove_tables(spark, since)

@@ -79,3 +79,18 @@ def test_a_number_held_by_very_many_names(spark):
     rows = spark.range(20_000).select("id", key.alias("name"), phone.alias("phones"), F.array().cast("array<string>").alias("emails"))
     got = shared_identifiers(rows).collect()
     assert [r["key"] for r in got] == ["p"] and len(got[0]["contacts"]) == 20_000
+
+
+def test_temporary_tables_are_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from kinweave.operators.checkpoints import checkpoint, own_dir, temporary
+
+    kept = checkpoint(spark.range(3))
+    with temporary(spark):
+        made = checkpoint(spark.range(5))
+        folder = Path(own_dir(spark, "x").removeprefix("file://"))
+        folder.mkdir()
+        path = Path(made.inputFiles()[0].removeprefix("file://")).parent
+        assert path.exists() and made.count() == 5
+    assert not path.exists() and not folder.exists() and kept.count() == 3
