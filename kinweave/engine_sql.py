@@ -49,10 +49,14 @@ _NAMES = {
     "family_differs": "'same first name but different last names: ' || dd", "different": "'different names: ' || dd",
 }
 
-#: sh: keys that several people hold. In the view these are landlines, and short forms and slips of a given name are one person's.
-SHARED = """
+#: sh, she: numbers and emails that several people hold. In the view these are landlines, where short forms and slips of a
+#: given name are one person's, and what two copies of one person share if their names don't fit.
+SHARED = f"""
+two AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.pid = b.pid AND a.copy = 0 AND b.copy = 1),
+tcmp AS ({compared("two")}),
 sh AS (SELECT phone_key FROM (SELECT phone_key, f || '|' || CASE g WHEN 'bob' THEN 'robert' WHEN 'liz' THEN 'elizabeth' WHEN 'mike' THEN 'michael' WHEN 'jonathon' THEN 'jonathan' ELSE g END AS person
-  FROM x WHERE copy = 2) GROUP BY phone_key HAVING count(DISTINCT person) > 1)"""
+  FROM x WHERE copy = 2) GROUP BY phone_key HAVING count(DISTINCT person) > 1 UNION ALL SELECT phone_key FROM tcmp JOIN x ON id = a WHERE names = 'different'),
+she AS (SELECT email_key FROM tcmp JOIN x ON id = a WHERE names = 'different')"""
 
 #: scored: pairs that reach a tier, with their evidence.
 SCORED = f"""{WORDS},{SHARED},

@@ -246,8 +246,9 @@ def er_identifier_tiers(spark, sf_dir):
     return analysed(spark, sf_dir).pairs.groupBy(K.tier_of(F.col("score")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {CHAIN}, {SHARED} SELECT phone_key AS key, '+91 ' || substr(phone_key, 4, 5) || ' ' || substr(phone_key, 9) AS display, string_agg(id::VARCHAR, ',' ORDER BY id) AS contacts
-  FROM x WHERE phone_key IN (SELECT phone_key FROM sh) GROUP BY phone_key""")
+@query(f"""WITH {CHAIN}, {WORDS}, {SHARED} SELECT phone_key AS key, '+91 ' || substr(phone_key, 4, 5) || ' ' || substr(phone_key, 9) AS display, string_agg(id::VARCHAR, ',' ORDER BY id) AS contacts
+  FROM x WHERE phone_key IN (SELECT phone_key FROM sh) GROUP BY phone_key
+  UNION ALL SELECT email_key, email_key, string_agg(id::VARCHAR, ',' ORDER BY id) FROM x WHERE email_key IN (SELECT email_key FROM she) GROUP BY email_key""")
 def er_shared_identifiers(spark, sf_dir):
     found = shared_identifiers(checkpoint(prepare(contacts(spark, sf_dir), "IN")))
     return found.select("key", "display", ids_of("contacts").alias("contacts"))
@@ -281,7 +282,7 @@ def er_group_pairs(spark, sf_dir):
     return group_pairs(a.groups, a.pairs).select("group", "a", "b")
 
 
-@query(GROUP_SQL + " SELECT unnest(members) AS id FROM tiered UNION SELECT id FROM x WHERE phone_key IN (SELECT phone_key FROM sh)")
+@query(GROUP_SQL + " SELECT unnest(members) AS id FROM tiered UNION SELECT id FROM x WHERE phone_key IN (SELECT phone_key FROM sh) OR email_key IN (SELECT email_key FROM she)")
 def er_shown_contacts(spark, sf_dir):
     return shown_ids(analysed(spark, sf_dir))
 
@@ -320,9 +321,9 @@ def er_clean_book(spark, sf_dir):
 @query(GROUP_SQL + """, u AS (SELECT grp, tier, unnest(members) AS id FROM tiered), found AS (SELECT p.grp, p.tier, p.id AS a, q.id AS b FROM u p JOIN u q ON p.grp = q.grp AND p.id < q.id),
 truth AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.pid = b.pid AND a.id < b.id), people AS (SELECT list(id ORDER BY id) AS members FROM v GROUP BY pid HAVING count(*) > 1),
 levels AS (SELECT unnest(['sure', 'sure+likely', 'all']) AS level, unnest([['sure'], ['sure', 'likely'], ['sure', 'likely', 'check']]) AS tiers),
-n AS (SELECT level, (SELECT count(*) FROM found WHERE list_contains(tiers, tier)) AS found, (SELECT count(*) FROM found JOIN truth USING (a, b) WHERE list_contains(tiers, tier)) AS "right", (SELECT count(*) FROM truth) AS "true",
+counted AS (SELECT level, (SELECT count(*) FROM found WHERE list_contains(tiers, tier)) AS found, (SELECT count(*) FROM found JOIN truth USING (a, b) WHERE list_contains(tiers, tier)) AS "right", (SELECT count(*) FROM truth) AS "true",
   (SELECT count(*) FROM tiered JOIN people USING (members) WHERE list_contains(tiers, tier)) AS exact, (SELECT count(*) FROM people) AS people FROM levels)
-SELECT *, CASE WHEN found = 0 THEN 'n/a' ELSE printf('%.1f%%', 100.0 * "right" / found) END AS precision, printf('%.1f%%', 100.0 * "right" / "true") AS recall FROM n""")
+SELECT *, CASE WHEN found = 0 THEN 'n/a' ELSE printf('%.1f%%', 100.0 * "right" / found) END AS precision, printf('%.1f%%', 100.0 * "right" / "true") AS recall FROM counted""")
 def er_pair_quality(spark, sf_dir):
     truth = person_view(spark, sf_dir).select("id", F.col("pid").alias("person"))
     return pair_quality(analysed(spark, sf_dir).groups, truth)
