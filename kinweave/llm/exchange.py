@@ -36,10 +36,11 @@ ANSWER_SCHEMA = pa.schema([("way", pa.int32()), ("kind", pa.int32()), *((n, pa.b
 
 
 def give_back() -> None:
-    """Has the C library return large freed arrays to the system, so that a reused worker doesn't keep its peak."""
+    """Has the C library and Arrow return freed memory to the system, so that a reused worker doesn't keep its peak."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD, which else grows with what is freed
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows with what is freed
         libc.malloc_trim(0)
 
 
@@ -209,6 +210,8 @@ def answer(packed: DataFrame, decide: Callable[[Bucket], list]) -> DataFrame:
         rows = list(dealt([*bucket.settled, *found], ways))
         if len(bucket.notes):
             rows.append(note(bucket.notes))
+        del bucket, found
+        give_back()
         return pa.Table.from_batches(rows, schema=ANSWER_SCHEMA)
 
     return packed.groupBy("bucket").applyInArrow(run, ANSWER)
@@ -243,6 +246,7 @@ def by_document(answers: DataFrame) -> DataFrame:
             cut = np.append(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), len(doc)) if len(doc) else np.zeros(1, np.int64)
             found.append({int(doc[x]): stretches(place[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)})
         ids = sorted({*found[0], *found[1]})
+        give_back()
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), *(pa.array([f.get(i) for i in ids], pa.binary()) for f in found)], schema=schema)
 
     return answers.groupBy("way").applyInArrow(run, "id long, first binary, second binary")

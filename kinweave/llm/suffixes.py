@@ -341,6 +341,8 @@ def sorted_out(packed: DataFrame, depth: int) -> DataFrame:
         all_ = Segments(docs, first, key, back, size, np.cumsum(length) - length, np.concatenate([*texts, np.zeros(8, np.uint8)]), depth)
         found, starts = all_.repeats()
         rows = list(exchange.dealt([*done, (1, found, starts)], ways))
+        del all_, parts, texts, docs, first, key, back, size, length
+        exchange.give_back()
         return pa.Table.from_batches(rows, schema=exchange.ANSWER_SCHEMA)
 
     return packed.groupBy("bucket").applyInArrow(run, exchange.ANSWER)
