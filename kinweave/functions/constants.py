@@ -71,6 +71,29 @@ LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d",
 
 # Evidence weights of name relations (32-bit floats), tiers and the cap on name blocks.
 NAME_WEIGHTS = {"exact": 0.5, "nickname": 0.4, "swapped": 0.4, "typo": 0.35, "initial": 0.3, "similar": 0.2, "partial": 0.15, "family_differs": -0.3, "different": -1.0}
+# The texts of evidence. both: the two names, or the one that they share.
+EVIDENCE = {
+    "exact": "same name, {both}",
+    "written": "same name written differently: {both}",
+    "nickname": "names {both} via nickname",
+    "swapped": "names {both} with first and last swapped",
+    "typo": "names {both} differ by a letter or two",
+    "initial": "names {both}: an initial that fits",
+    "similar": "names {both}: same first name, close last names",
+    "partial": "names {both}: only one name to compare",
+    "family_differs": "same first name but different last names: {both}",
+    "different": "different names: {both}",
+    "shared": "both have {what}, but so do contacts with other names, so it counts for little",
+    "phone": "same {kind} {what}",
+    "tail": "same number if {local} is {intl} (one copy has no country code)",
+    "no phone": "no number in common",
+    "email": "same email {what}",
+    "no email": "no email in common",
+    "birthdays": "different birthdays",
+    "birthday": "same birthday",
+    "day": "same birthday (day and month)",
+    "company": "same company",
+}
 TIERS = (("sure", 1.0), ("likely", 0.7), ("check", 0.4))
 MAX_BLOCK = 300
 

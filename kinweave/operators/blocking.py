@@ -24,16 +24,21 @@ def block_keys() -> Column:
     return F.array_distinct(F.concat(numbers, emails, by_name))
 
 
-def capped_keys(prepared: DataFrame, cap: int = MAX_BLOCK) -> DataFrame:
-    """(id, key) without name and company keys of more than `cap` contacts: such a key says little."""
+def named(key: Column) -> Column:
+    """Name and company keys: the ones that the cap is for."""
+    return F.left(key, F.lit(2)).isin("n:", "c:")
+
+
+def capped_keys(prepared: DataFrame, cap: int = MAX_BLOCK, large: DataFrame | None = None) -> DataFrame:
+    """(id, key) without name and company keys of more than `cap` contacts: such a key says little. large: keys that are known to have more."""
     keys = prepared.select("id", F.explode(block_keys()).alias("key"))
-    named = F.left("key", F.lit(2)).isin("n:", "c:")
-    large = keys.where(named).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("key")
-    return keys.join(large, "key", "left_anti")
+    over = keys.where(named(F.col("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("key")
+    over = over if large is None else over.union(large.select("key"))
+    return keys.join(over, "key", "left_anti")
 
 
-def candidates(prepared: DataFrame, cap: int = MAX_BLOCK) -> DataFrame:
+def candidates(prepared: DataFrame, cap: int = MAX_BLOCK, large: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a < b) that share a key."""
-    keys = checkpoint(capped_keys(prepared, cap))
+    keys = checkpoint(capped_keys(prepared, cap, large))
     a, b = keys.select("key", F.col("id").alias("a")), keys.select("key", F.col("id").alias("b"))
     return a.join(b, "key").where("a < b").select("a", "b").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as K
+from ..functions.constants import MAX_BLOCK
 from ..operators.blocking import candidates
 from ..operators.checkpoints import checkpoint
 from ..operators.clustering import cluster, group_pairs
@@ -42,12 +43,12 @@ def problems(contacts: DataFrame, region: str = "US") -> Problems:
     return Problems(full.where(~named).select("id"), numbers.where("n.has = false").select("id", "n.number"), rows.where("void").select("id"))
 
 
-def analyze(contacts: DataFrame, region: str = "US", not_duplicates: DataFrame | None = None) -> Analysis:
-    """not_duplicates: (a, b) of contacts that a user said are different people."""
+def analyze(contacts: DataFrame, region: str = "US", not_duplicates: DataFrame | None = None, *, cap: int = MAX_BLOCK, large: DataFrame | None = None) -> Analysis:
+    """not_duplicates: (a, b) of contacts that a user said are different people. large: keys over the cap in a book that contacts are a part of."""
     prepared = checkpoint(prepare(contacts, region))
     shared = checkpoint(shared_identifiers(prepared))
     known = checkpoint(with_shared(prepared, shared))
-    pairs = checkpoint(scored_pairs(candidates(prepared), known))
+    pairs = checkpoint(scored_pairs(candidates(prepared, cap, large), known))
     groups = checkpoint(cluster(pairs, prepared, not_duplicates))
     return Analysis(prepared, shared, pairs, groups, problems(contacts, region))
 

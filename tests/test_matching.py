@@ -151,3 +151,25 @@ def test_stream(spark, tmp_path):
     q = resolve_stream(spark.readStream.schema(CONTACT_DDL).parquet(source), str(tmp_path / "store"), str(tmp_path / "groups"), "IN").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r["members"]) for r in spark.read.parquet(str(tmp_path / "groups")).where(F.col("batch") == 0).collect()} == {(0, 1, 2), (3, 4)}
+
+
+def test_batches_touch_only_what_they_must(spark, tmp_path):
+    """After each batch the groups are those of a whole analysis, and contacts without a key in common stay untouched."""
+    from kinweave.streaming.incremental import resolve_batch
+
+    store, out = str(tmp_path / "store"), str(tmp_path / "groups")
+    batches = [
+        [*PEOPLE[:4], person(20, "Ann Lund", ["+91 95555 00001"]), person(21, "A. Lund", ["+91 95555 00001"])],
+        [*PEOPLE[4:8], person(30, "Nils Oberg", ["+91 96666 00001"])],
+        [*PEOPLE[8:], person(31, "Nils Oberg", ["+91 96666 00001"]), person(32, "Nora Oberg", ["+91 96666 00002"]), person(33, "Nell Oberg", ["+91 96666 00003"])],
+    ]
+    seen = []
+    for n, rows in enumerate(batches):
+        seen += rows
+        again = {r["id"] for r in resolve_batch(spark.createDataFrame(rows, CONTACT_DDL), n, store, out, "IN", cap=2).collect()}
+        assert not {20, 21} & again or n == 0
+        whole = analyze(spark.createDataFrame(seen, CONTACT_DDL), "IN", cap=2).groups.collect()
+        got = spark.read.parquet(f"{out}/batch={n}").collect()
+        as_set = lambda found: {(tuple(r["members"]), r["score"], r["tier"]) for r in found}
+        assert as_set(got) == as_set(whole) and any(r["members"] == [20, 21] for r in got)
+    assert {30, 31} <= again
