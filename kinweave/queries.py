@@ -76,12 +76,15 @@ b AS (SELECT c_custkey AS id, CAST(floor(c_custkey / 3) AS BIGINT) AS pid, CAST(
 g AS (SELECT *, {GIVEN}[pid % 16 + 1] AS given, {FAMILY}[CAST(floor(pid / 16) AS BIGINT) % 16 + 1] AS family, lpad(pid::VARCHAR, 9, '0') AS nine,
       pid % 12 + 1 AS mo, pid % 28 + 1 AS da, (pid % 60 + 1940)::VARCHAR AS ye, (pid + CAST(floor(pid / 16) AS BIGINT)) % 4 AS kind,
       {OTHER_GIVEN}[pid % 16 + 1] AS og, {OTHER_FAMILY}[CAST(floor(pid / 16) AS BIGINT) % 16 + 1] AS of FROM b),
-h AS (SELECT *, CASE WHEN copy = 1 AND kind = 0 THEN left(given, 1) WHEN copy = 1 AND kind = 1 THEN og ELSE given END AS wg, CASE WHEN copy = 1 AND kind = 2 THEN of ELSE family END AS wf FROM g),
+h AS (SELECT *, CASE WHEN copy = 1 AND kind = 0 THEN left(given, 1) WHEN copy = 1 AND kind = 1 THEN og ELSE given END AS wg, CASE WHEN copy = 1 AND kind = 2 THEN of
+    ELSE family END AS wf FROM g),
 v AS (SELECT id, pid, copy, given, family, wg, wf,
-  CASE copy WHEN 0 THEN given || ' ' || family WHEN 1 THEN wg || CASE WHEN kind = 0 THEN '. ' ELSE ' ' END || wf ELSE upper(family) || ', ' || upper(given) END AS formatted_name,
+  CASE copy WHEN 0 THEN given || ' ' || family WHEN 1 THEN wg || CASE WHEN kind = 0 THEN '. ' ELSE ' ' END || wf ELSE upper(family) || ', ' || upper(given)
+      END AS formatted_name,
   CASE copy WHEN 0 THEN '+91 9' || nine WHEN 1 THEN '0091-9' || nine ELSE '+91 22 2' || lpad((CAST(floor(pid / 4) AS BIGINT) % 10000)::VARCHAR, 7, '0') END AS phone,
   CASE copy WHEN 0 THEN given || '.' || family || pid || '@gmail.com' WHEN 1 THEN given || family || pid || '+x@GoogleMail.com' ELSE '' END AS email,
-  CASE copy WHEN 0 THEN ye || '-' || lpad(mo::VARCHAR, 2, '0') || '-' || lpad(da::VARCHAR, 2, '0') WHEN 1 THEN '--' || lpad(mo::VARCHAR, 2, '0') || lpad(da::VARCHAR, 2, '0') ELSE mo || '/' || da || '/' || ye END AS birthday,
+  CASE copy WHEN 0 THEN ye || '-' || lpad(mo::VARCHAR, 2, '0') || '-' || lpad(da::VARCHAR, 2, '0') WHEN 1 THEN '--' || lpad(mo::VARCHAR, 2, '0') || lpad(da::VARCHAR, 2,
+      '0') ELSE mo || '/' || da || '/' || ye END AS birthday,
   CASE WHEN pid % 5 = 0 THEN 'Acme (' || pid || ') ' || ['Ltd', 'Trading Co', 'Logistics GmbH'][pid % 3 + 1] ELSE '' END AS org,
   CASE copy WHEN 0 THEN 'https://www.Example.com/p' || pid || '/' WHEN 1 THEN 'HTTP://example.com/p' || pid ELSE '' END AS url FROM h)"""
 
@@ -135,7 +138,8 @@ def er_contact_view(spark, sf_dir):
 
 EMAIL_SQL = """
 e AS (SELECT *, trim(regexp_replace(lower(trim(email)), '^mailto:', '')) AS m FROM v),
-k AS (SELECT *, CASE WHEN m NOT LIKE '%_@%.%' THEN NULL WHEN regexp_matches(m, '@(gmail|googlemail)\\.com$') THEN replace(split_part(regexp_extract(m, '^(.*)@', 1), '+', 1), '.', '') || '@gmail.com' ELSE m END AS email_key,
+k AS (SELECT *, CASE WHEN m NOT LIKE '%_@%.%' THEN NULL WHEN regexp_matches(m, '@(gmail|googlemail)\\.com$') THEN replace(split_part(regexp_extract(m, '^(.*)@', 1), '+',
+    1), '.', '') || '@gmail.com' ELSE m END AS email_key,
   CASE WHEN phone LIKE '00%' THEN '+' || regexp_replace(substr(phone, 3), '[^0-9]', '', 'g') ELSE '+' || regexp_replace(phone, '[^0-9]', '', 'g') END AS phone_key FROM e)"""
 
 
@@ -152,7 +156,8 @@ def er_phone_key(spark, sf_dir):
 
 @query("""WITH $VIEW, d AS (SELECT id, CASE copy WHEN 0 THEN birthday WHEN 1 THEN '--' || substr(birthday, 3, 2) || '-' || substr(birthday, 5, 2)
   ELSE split_part(birthday, '/', 3) || '-' || lpad(split_part(birthday, '/', 1), 2, '0') || '-' || lpad(split_part(birthday, '/', 2), 2, '0') END AS date FROM v)
-SELECT id, date, CASE WHEN date LIKE '--%' THEN 0 ELSE CAST(left(date, 4) AS INTEGER) END AS y, CAST(substr(right(date, 5), 1, 2) AS INTEGER) AS m, CAST(right(date, 2) AS INTEGER) AS d FROM d""")
+SELECT id, date, CASE WHEN date LIKE '--%' THEN 0 ELSE CAST(left(date, 4) AS INTEGER) END AS y, CAST(substr(right(date, 5), 1, 2) AS INTEGER) AS m, CAST(right(date,
+    2) AS INTEGER) AS d FROM d""")
 def er_dates(spark, sf_dir):
     v = person_view(spark, sf_dir).select("id", CLEAN_DATE(F.col("birthday")).alias("date"))
     return v.select("id", "date", K.birthday_triple(F.col("date")).alias("t")).select("id", "date", "t.*")
@@ -173,7 +178,8 @@ def er_fold(spark, sf_dir):
 
 KEY_SQL = """
 n AS (SELECT *, 'person' AS kind, lower(wg) AS g, lower(wf) AS f,
-  CASE WHEN org = '' THEN '' ELSE trim(regexp_replace(regexp_replace(' ' || replace(lower(regexp_replace(org, '\\([^)]*\\) *', '')), ' ', '  ') || ' ', ' (ltd|co|gmbh) ', ' ', 'g'), ' +', ' ', 'g')) END AS o FROM k)"""
+  CASE WHEN org = '' THEN '' ELSE trim(regexp_replace(regexp_replace(' ' || replace(lower(regexp_replace(org, '\\([^)]*\\) *', '')), ' ', '  ') || ' ',
+      ' (ltd|co|gmbh) ', ' ', 'g'), ' +', ' ', 'g')) END AS o FROM k)"""
 
 
 @query(f"WITH $VIEW, {EMAIL_SQL}, {KEY_SQL} SELECT id, kind, g AS given, f AS family, o AS org FROM n")
@@ -194,8 +200,10 @@ def er_distances(spark, sf_dir):
 
 NICK_SQL = "x AS (SELECT *, list_distinct([g] || CASE g WHEN 'bob' THEN ['robert'] WHEN 'liz' THEN ['elizabeth'] WHEN 'beth' THEN ['elizabeth'] WHEN 'mike' THEN ['michael'] WHEN 'danny' THEN ['daniel'] WHEN 'tom' THEN ['thomas'] ELSE [] END) AS gs FROM n)"
 BLOCK_SQL = f"""WITH $VIEW, {EMAIL_SQL}, {KEY_SQL}, {NICK_SQL},
-keys AS (SELECT id, 'p:' || phone_key AS key FROM x UNION SELECT id, 't:' || right(phone_key, 9) FROM x UNION SELECT id, 'e:' || email_key FROM x WHERE email_key IS NOT NULL
-  UNION SELECT id, 'n:' || f || '|' || left(y, 1) FROM x, unnest(gs) AS t(y) WHERE octet_length(encode(f)) > 1 UNION SELECT id, 'n:' || y || '|' || left(f, 1) FROM x, unnest(gs) AS t(y) WHERE octet_length(encode(f)) > 1),
+keys AS (SELECT id, 'p:' || phone_key AS key FROM x UNION SELECT id, 't:' || right(phone_key, 9) FROM x UNION SELECT id, 'e:' || email_key FROM x
+    WHERE email_key IS NOT NULL
+  UNION SELECT id, 'n:' || f || '|' || left(y, 1) FROM x, unnest(gs) AS t(y) WHERE octet_length(encode(f)) > 1 UNION SELECT id, 'n:' || y || '|' || left(f, 1) FROM x,
+      unnest(gs) AS t(y) WHERE octet_length(encode(f)) > 1),
 sized AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM keys), capped AS (SELECT id, key FROM sized WHERE n <= 300 OR left(key, 2) NOT IN ('n:', 'c:'))"""
 
 
@@ -218,7 +226,8 @@ def er_components(spark, sf_dir):
     return components(keys.join(firsts, "key").select(F.col("first").alias("a"), F.col("id").alias("b")))
 
 
-QUALITY_SQL = """q AS (SELECT *, 14 - CASE WHEN length(g) = 1 THEN 5 ELSE 0 END - CASE WHEN copy = 2 THEN 1 ELSE 0 END - CASE WHEN len(gs) > 1 THEN 2 ELSE 0 END + CAST(floor(least(length(g), 8) / 3) AS INTEGER) AS quality FROM x)"""
+QUALITY_SQL = """q AS (SELECT *, 14 - CASE WHEN length(g) = 1 THEN 5 ELSE 0 END - CASE WHEN copy = 2 THEN 1 ELSE 0 END - CASE WHEN len(gs) > 1 THEN 2
+    ELSE 0 END + CAST(floor(least(length(g), 8) / 3) AS INTEGER) AS quality FROM x)"""
 
 
 # --- the heart of the engine ------------------------------------------------------------------------
@@ -246,7 +255,8 @@ def er_identifier_tiers(spark, sf_dir):
     return analysed(spark, sf_dir).pairs.groupBy(K.tier_of(F.col("score")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {CHAIN}, {WORDS}, {SHARED} SELECT phone_key AS key, '+91 ' || substr(phone_key, 4, 5) || ' ' || substr(phone_key, 9) AS display, string_agg(id::VARCHAR, ',' ORDER BY id) AS contacts
+@query(f"""WITH {CHAIN}, {WORDS}, {SHARED} SELECT phone_key AS key, '+91 ' || substr(phone_key, 4, 5) || ' ' || substr(phone_key, 9) AS display, string_agg(id::VARCHAR,
+    ',' ORDER BY id) AS contacts
   FROM x WHERE phone_key IN (SELECT phone_key FROM sh) GROUP BY phone_key
   UNION ALL SELECT email_key, email_key, string_agg(id::VARCHAR, ',' ORDER BY id) FROM x WHERE email_key IN (SELECT email_key FROM she) GROUP BY email_key""")
 def er_shared_identifiers(spark, sf_dir):
@@ -288,7 +298,8 @@ def er_shown_contacts(spark, sf_dir):
 
 
 @query(GROUP_SQL + """, top AS (SELECT * FROM tiered ORDER BY list_position(['sure', 'likely', 'check'], tier), grp LIMIT 10)
-SELECT grp AS "group", tier, round(score::DOUBLE * 100) / 100 AS score, (SELECT string_agg(formatted_name, '; ' ORDER BY id) FROM v WHERE list_contains(members, id)) AS members FROM top""")
+SELECT grp AS "group", tier, round(score::DOUBLE * 100) / 100 AS score, (SELECT string_agg(formatted_name, '; ' ORDER BY id) FROM v WHERE list_contains(members,
+    id)) AS members FROM top""")
 def er_top_groups(spark, sf_dir):
     """The first ten groups of the report, in its order."""
     rows = group_rows(analysed(spark, sf_dir), contacts(spark, sf_dir)).limit(10)  # a top-k report
@@ -310,8 +321,10 @@ def er_golden_records(spark, sf_dir):
 
 
 @query(GROUP_SQL + f""", {QUALITY_SQL}, mg AS (SELECT grp AS merge, members FROM tiered WHERE tier IN ('sure', 'likely')), {golden('mg')}
-SELECT merge AS id, {GOLD_COLUMNS} FROM gold UNION ALL SELECT q.id, q.formatted_name, q.phone, q.email, CASE q.copy WHEN 0 THEN v.birthday WHEN 1 THEN '--' || substr(v.birthday, 3, 2) || '-' || substr(v.birthday, 5, 2)
-  ELSE split_part(v.birthday, '/', 3) || '-' || lpad(split_part(v.birthday, '/', 1), 2, '0') || '-' || lpad(split_part(v.birthday, '/', 2), 2, '0') END, q.org, 'Note ' || q.pid FROM q JOIN v USING (id) WHERE q.id NOT IN (SELECT id FROM of)""")
+SELECT merge AS id, {GOLD_COLUMNS} FROM gold UNION ALL SELECT q.id, q.formatted_name, q.phone, q.email, CASE q.copy WHEN 0 THEN v.birthday
+    WHEN 1 THEN '--' || substr(v.birthday, 3, 2) || '-' || substr(v.birthday, 5, 2)
+  ELSE split_part(v.birthday, '/', 3) || '-' || lpad(split_part(v.birthday, '/', 1), 2, '0') || '-' || lpad(split_part(v.birthday, '/', 2), 2, '0') END, q.org,
+      'Note ' || q.pid FROM q JOIN v USING (id) WHERE q.id NOT IN (SELECT id FROM of)""")
 def er_clean_book(spark, sf_dir):
     c = contacts(spark, sf_dir)
     clean = apply_merges(c, from_groups(analyze(c, "IN").groups, "likely"), "IN").contacts
@@ -319,11 +332,14 @@ def er_clean_book(spark, sf_dir):
 
 
 @query(GROUP_SQL + """, u AS (SELECT grp, tier, unnest(members) AS id FROM tiered), found AS (SELECT p.grp, p.tier, p.id AS a, q.id AS b FROM u p JOIN u q ON p.grp = q.grp AND p.id < q.id),
-truth AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.pid = b.pid AND a.id < b.id), people AS (SELECT list(id ORDER BY id) AS members FROM v GROUP BY pid HAVING count(*) > 1),
+truth AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.pid = b.pid AND a.id < b.id), people AS (SELECT list(id ORDER BY id) AS members FROM v
+    GROUP BY pid HAVING count(*) > 1),
 levels AS (SELECT unnest(['sure', 'sure+likely', 'all']) AS level, unnest([['sure'], ['sure', 'likely'], ['sure', 'likely', 'check']]) AS tiers),
-counted AS (SELECT level, (SELECT count(*) FROM found WHERE list_contains(tiers, tier)) AS found, (SELECT count(*) FROM found JOIN truth USING (a, b) WHERE list_contains(tiers, tier)) AS "right", (SELECT count(*) FROM truth) AS "true",
+counted AS (SELECT level, (SELECT count(*) FROM found WHERE list_contains(tiers, tier)) AS found, (SELECT count(*) FROM found JOIN truth USING (a, b)
+    WHERE list_contains(tiers, tier)) AS "right", (SELECT count(*) FROM truth) AS "true",
   (SELECT count(*) FROM tiered JOIN people USING (members) WHERE list_contains(tiers, tier)) AS exact, (SELECT count(*) FROM people) AS people FROM levels)
-SELECT *, CASE WHEN found = 0 THEN 'n/a' ELSE printf('%.1f%%', 100.0 * "right" / found) END AS precision, printf('%.1f%%', 100.0 * "right" / "true") AS recall FROM counted""")
+SELECT *, CASE WHEN found = 0 THEN 'n/a' ELSE printf('%.1f%%', 100.0 * "right" / found) END AS precision, printf('%.1f%%', 100.0 * "right" / "true") AS recall
+    FROM counted""")
 def er_pair_quality(spark, sf_dir):
     truth = person_view(spark, sf_dir).select("id", F.col("pid").alias("person"))
     return pair_quality(analysed(spark, sf_dir).groups, truth)
@@ -336,15 +352,18 @@ def er_golden_name(spark, sf_dir):
     return gold.select(F.col("merge").alias("pid"), F.col("choices.name").alias("pick"), "contact.formatted_name")
 
 
-@query(BY_PERSON_SQL + """ SELECT merge AS pid, min(CASE WHEN date = (SELECT date FROM gbd WHERE gbd.merge = gm.merge) THEN id END) AS birthday, min(CASE WHEN org <> '' THEN id END) AS org FROM gm GROUP BY merge""")
+@query(BY_PERSON_SQL + """ SELECT merge AS pid, min(CASE WHEN date = (SELECT date FROM gbd WHERE gbd.merge = gm.merge) THEN id END) AS birthday, min(CASE WHEN org <> '' THEN id END) AS org
+     FROM gm GROUP BY merge""")
 def er_most_common(spark, sf_dir):
     """The copies whose birthday and organisation each person keeps."""
     gold = golden_records(contacts(spark, sf_dir), by_person(spark, sf_dir), "IN")
     return gold.select(F.col("merge").alias("pid"), "choices.birthday", "choices.org")
 
 
-@query(BY_PERSON_SQL + """, alt AS (SELECT merge, CASE copy WHEN 2 THEN f || ' ' || g ELSE g || ' ' || f END AS folded, list({'q': quality, 'i': id, 'n': formatted_name} ORDER BY quality DESC, id) AS held FROM gm GROUP BY 1, 2)
-SELECT merge AS pid, string_agg(held[1].n, '; ' ORDER BY held[1].q DESC, held[1].i) AS names, string_agg(array_to_string(list_transform(held, lambda h: h.i), ','), '; ' ORDER BY held[1].q DESC, held[1].i) AS ids FROM alt GROUP BY merge""")
+@query(BY_PERSON_SQL + """, alt AS (SELECT merge, CASE copy WHEN 2 THEN f || ' ' || g ELSE g || ' ' || f END AS folded, list({'q': quality, 'i': id, 'n': formatted_name} ORDER BY quality DESC,
+    id) AS held FROM gm GROUP BY 1, 2)
+SELECT merge AS pid, string_agg(held[1].n, '; ' ORDER BY held[1].q DESC, held[1].i) AS names, string_agg(array_to_string(list_transform(held, lambda h: h.i), ','),
+    '; ' ORDER BY held[1].q DESC, held[1].i) AS ids FROM alt GROUP BY merge""")
 def er_alternatives(spark, sf_dir):
     """The different names to choose from, best first, and the copies that have them."""
     gold = golden_records(contacts(spark, sf_dir), by_person(spark, sf_dir), "IN")
@@ -395,7 +414,8 @@ def er_cards(spark, sf_dir):
     return cards(contacts(spark, sf_dir))
 
 
-@query("""WITH $VIEW SELECT row_number() OVER (ORDER BY c_nationkey::VARCHAR, id) - 1 AS id, trim(formatted_name) AS formatted_name, phone, email, org, 'Note ' || pid AS note FROM v JOIN customer ON c_custkey = id""")
+@query("""WITH $VIEW SELECT row_number() OVER (ORDER BY c_nationkey::VARCHAR, id) - 1 AS id, trim(formatted_name) AS formatted_name, phone, email, org, 'Note ' || pid AS note
+    FROM v JOIN customer ON c_custkey = id""")
 def er_book(spark, sf_dir):
     """Cards written as files, a folder a nation below a folder with a blank in its name, and read again by a pattern: the ids are dense over the files."""
     out = f"{own_dir(spark, 'book')}/all cards"
@@ -414,12 +434,14 @@ def er_equal_files(spark, sf_dir):
     return book(files).files
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(text, '([\\\\,;])', '\\\\\\1', 'g'), '\\r\\n|\\r|\\n', '\\\\n', 'g') AS escaped, CASE WHEN regexp_matches(text, '[:;,]') THEN '"' || replace(text, '"', '''') || '"' ELSE text END AS quoted FROM documents""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(text, '([\\\\,;])', '\\\\\\1', 'g'), '\\r\\n|\\r|\\n', '\\\\n', 'g') AS escaped, CASE WHEN regexp_matches(text,
+    '[:;,]') THEN '"' || replace(text, '"', '''') || '"' ELSE text END AS quoted FROM documents""")
 def er_escaping(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", udfs.each(escaped)(F.col("text")).alias("escaped"), udfs.each(quoted)(F.col("text")).alias("quoted"))
 
 
-@query("""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN '+1 ' || user_id || CASE WHEN user_id % 3 = 0 THEN ' ext. ' || event_id ELSE '' END ELSE 'tel;' || user_id END AS number, CASE WHEN user_id % 2 = 0 THEN event_type ELSE '_$!<' || event_type END AS label FROM events""")
+@query("""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN '+1 ' || user_id || CASE WHEN user_id % 3 = 0 THEN ' ext. ' || event_id ELSE '' END ELSE 'tel;' || user_id END AS number,
+    CASE WHEN user_id % 2 = 0 THEN event_type ELSE '_$!<' || event_type END AS label FROM events""")
 def er_uris_and_labels(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     u, i = F.col("user_id").cast("string"), F.col("event_id").cast("string")
