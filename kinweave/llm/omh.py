@@ -49,7 +49,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 TAKEN, ROWS, BANDS = 2, 2, 16
 SMALL, ROUNDS = 16, 3
 #: Counters of shingles by hash: the order of a prefix join needs no exact frequencies.
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 #: Shingles of minor texts that are broadcast, so that others only emit these: some 4 MB.
 WANTED = 500_000
 
@@ -238,31 +238,34 @@ def prefix_pairs(texts: DataFrame, words: DataFrame, shingle: int, least: float)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["slot", "n"])
 
-    frequency = np.zeros(SLOTS, np.int64)
-    for r in held.select("z").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # SLOTS rows at most
-        frequency[r["slot"]] = r["n"]
+    frequency = np.zeros(SLOTS, np.int32)
+    found = held.select("z").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # SLOTS rows at most
+    frequency[found.column("slot").to_numpy()] = found.column("n").to_numpy()
 
     def made(texts: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-        """The prefixes, shingle by shingle; if given, only the wanted (sorted) ones."""
+        """The prefixes, shingle by shingle with their ranks from the rarest on; if given, only the wanted (sorted) ones."""
 
         def run(batches):
             for b in batches:
-                first, many, sizes = [], [], []
+                first, ranks, many, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
                 for z in b.column(3).to_pylist():
                     values = own(z)
                     n = len(values)
                     rarest = np.lexsort((values, frequency[(values % np.uint64(SLOTS)).astype(np.int64)]))
                     found = values[rarest[: n - math.ceil(least * n - 1e-9) + 1]]
+                    rank = np.flatnonzero(frequency[(found % np.uint64(SLOTS)).astype(np.int64)] > 1)  # the others no other text has
                     if wanted is not None:
-                        found = found[np.isin(found, wanted)]
+                        rank = rank[np.isin(found[rank], wanted)]
+                    found = found[rank]
                     first.append(found)
+                    ranks.append(rank)
                     many.append(len(found))
                     sizes.append(n)
                 take = pa.array(np.repeat(np.arange(len(many)), many), pa.int64())
-                keys = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(i).take(take) for i in range(3)), pa.array(sizes, pa.int64()).take(take)], names=["shingle", "text", "label", "minor", "n"])
+                columns = [pa.array(np.concatenate(first).view(np.int64)), *(b.column(i).take(take) for i in range(3)), pa.array(sizes, pa.int64()).take(take), pa.array(np.concatenate(ranks))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "text", "label", "minor", "n", "rank"])
 
-        return texts.select("text", "label", "minor", "z").mapInArrow(run, "shingle long, text binary, label binary, minor boolean, n long")
+        return texts.select("text", "label", "minor", "z").mapInArrow(run, "shingle long, text binary, label binary, minor boolean, n long, rank long")
 
     few = checkpoint(made(held.where("minor"), None))
     many = few.select("shingle").distinct()
@@ -273,8 +276,9 @@ def prefix_pairs(texts: DataFrame, words: DataFrame, shingle: int, least: float)
     every = checkpoint(every)
     shared = every.groupBy("shingle").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("minor").alias("minor")).where("l1 <> l2 and minor").select("shingle")
     every = checkpoint(every.join(shared, "shingle", "left_semi"))
-    other = every.select("shingle", F.col("text").alias("text2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("minor").alias("minor2"))
-    long_enough = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9
+    other = every.select("shingle", F.col("text").alias("text2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("rank").alias("rank2"), F.col("minor").alias("minor2"))
+    # at the rarest common shingle all common ones are still to come: as many as two similar texts need must be left in both
+    long_enough = F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9
     apart = (F.col("label") != F.col("label2")) & (~F.col("minor2") | (F.col("text") < F.col("text2")))  # two minor texts meet once
     return every.where("minor").join(other, "shingle").where(apart & long_enough).select(*ordered(F.col("text"), F.col("text2"))).distinct()
 
