@@ -59,7 +59,11 @@ def seeds(words: Column, masks: list[str], wanted: list[Column] | None = None) -
     return F.concat(*[of(k, mask) for k, mask in enumerate(masks)])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS,
+    window: int = WINDOW, similarity: float = SIMILARITY,
+) -> DataFrame:
     """A row a document and item that it holds: matched (equal words in the best window), similarity, start (its first word in the document)."""
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("iw")).where(F.size("iw") > 0).distinct()
     size = F.size("iw")

@@ -171,7 +171,10 @@ def stepped(columns: np.ndarray, sizes: np.ndarray, table: Moves, state: np.ndar
     return count, state
 
 
-def phrases(columns: np.ndarray, sizes: np.ndarray, before: np.ndarray, after: np.ndarray, table: Moves, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def phrases(
+    columns: np.ndarray, sizes: np.ndarray, before: np.ndarray, after: np.ndarray, table: Moves,
+    first: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
     """Phrases of blocks that follow one another, and the states after them.
 
     before, after: the block that stands before or after each in its text, or -1; first: states before those that have none.
@@ -261,7 +264,10 @@ def sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, docum
     return tuple(sorted((r["l"], tuple(x["t"] for x in r["x"] if x["t"])) for r in picked))
 
 
-def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", documents: int = DOCUMENTS, excerpt: int = EXCERPT, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(
+    docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+    label_col: str = "lang", documents: int = DOCUMENTS, excerpt: int = EXCERPT, keep: tuple[str, ...] = (),
+) -> DataFrame:
     """Adds lang_pred, score (the winner's lead over the next language, 0 to 1) and rate (its phrases a character, but for the last).
 
     training: rows with the label; docs' own label column takes no part in a prediction. keep: columns of

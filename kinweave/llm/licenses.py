@@ -249,7 +249,11 @@ def chains(m: Model, matches: list[tuple[int, int, int]], gap: int) -> list[tupl
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,covered:double>>"
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None, min_match: int = 3, max_gap: int = 4, min_covered: float = 0.75) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+    templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None, min_match: int = 3,
+    max_gap: int = 4, min_covered: float = 0.75,
+) -> DataFrame:
     """One row a document: words, places of the base phrases, labels, score and licence spans in words."""
     small_batches(docs.sparkSession)
     key_t = tuple((k, t) for k, v in (templates or TEMPLATES).items() for t in v)

@@ -49,7 +49,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 TAKEN, ROWS, BANDS = 2, 2, 16
 SMALL, ROUNDS = 16, 3
 #: Counters of shingles by hash: the order of a prefix join needs no exact frequencies.
-SLOTS = 1 << 20
+SLOTS, SLOT_BLOCKS = 1 << 20, 32
 #: Shingles of minor texts that are broadcast, so that others only emit these: some 4 MB.
 WANTED = 500_000
 
@@ -230,17 +230,29 @@ def prefix_pairs(texts: DataFrame, words: DataFrame, shingle: int, least: float)
         found, _ = word_hashes(np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8))
         return labelled(*shingles(found, np.array([len(found)]), shingle))
 
+    size = SLOTS // SLOT_BLOCKS
+
     def count(batches):
+        """The task's counts, a row a block of slots."""
         counts = np.zeros(SLOTS, np.int64)
         for b in batches:
             for z in b.column(0).to_pylist():
                 np.add.at(counts, (own(z) % np.uint64(SLOTS)).astype(np.int64), 1)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["slot", "n"])
+        used = [k for k in range(SLOT_BLOCKS) if counts[k * size : (k + 1) * size].any()]
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([squeeze(counts[k * size : (k + 1) * size].tobytes()) for k in used], pa.binary())], names=["block", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        open_up = zstandard.ZstdDecompressor().decompress
+        total = np.zeros(size, np.int64)
+        for z in table.column("counts").to_pylist():
+            total += np.frombuffer(open_up(z), np.int64)
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
     frequency = np.zeros(SLOTS, np.int32)
-    found = held.select("z").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # SLOTS rows at most
-    frequency[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    counted = held.select("z").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    for r in counted.collect():  # SLOTS numbers at most
+        frequency[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["counts"], np.int32)
 
     def made(texts: DataFrame, wanted: np.ndarray | None) -> DataFrame:
         """The prefixes, shingle by shingle with their ranks from the rarest on; if given, only the wanted (sorted) ones."""
@@ -333,7 +345,11 @@ def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, smal
     return found
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, taken: int = TAKEN, rows: int = ROWS, bands: int = BANDS, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+    similarity: float = SIMILARITY, taken: int = TAKEN, rows: int = ROWS, bands: int = BANDS,
+    small: int = SMALL, rounds: int = ROUNDS,
+) -> DataFrame:
     """A row a row: id, class_id (the smallest id of its class) and class_size (rows of the class)."""
     made = checkpoint(sketched(docs, id_col, text_col, shingle, taken, rows, bands))
     texts = made.where("n > 0").groupBy("text").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"))

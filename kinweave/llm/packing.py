@@ -161,7 +161,11 @@ def tokenised(docs: DataFrame, *, id_col: str, text_col: str, queue: Column, tok
     return docs.select(F.col(id_col).alias("id"), queue.alias("queue"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, TOKENS.format(id=kind))
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, width: int = WIDTH, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", queues: int = MAX_QUEUES, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, *, tokenizer: str, end_id: int = 1, width: int = WIDTH,
+    weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source", queues: int = MAX_QUEUES, with_ids: bool = False,
+) -> DataFrame:
     """A row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source queue and, if asked for, the ids."""
     queue, weights = queue_of(docs, source_col, weights, queues)
     tokens = checkpoint(tokenised(docs, id_col=id_col, text_col=text_col, queue=queue, tokenizer=tokenizer, end_id=end_id))

@@ -348,7 +348,10 @@ def sorted_out(packed: DataFrame, depth: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, exchange.ANSWER)
 
 
-def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def dedup_suffixes(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM,
+    with_text: bool = False,
+) -> DataFrame:
     """A row a document: n_bytes, n_removed, spans (maximal removed [begin, end) of bytes), kept_sha256 and, if asked for, kept bytes.
 
     A byte goes if a string of `depth` bytes that covers it also starts earlier: under a smaller id, or earlier in the document.
