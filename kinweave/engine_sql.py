@@ -86,8 +86,12 @@ said AS (SELECT a, b, names, [
 scored AS (SELECT a, b, names, array_to_string(list_filter(texts, lambda t: t IS NOT NULL), '; ') AS evidence, w1 + w2 + w3 + w4 + w5 AS score FROM said
     WHERE w1 + w2 + w3 + w4 + w5 >= 0.4::FLOAT)"""
 
-#: grps: the groups that joining the pairs in order gives, component by component. grp and weak stand beside nodes.
-GROUPS = f"""{SCORED},
+def groups(apart: str = "FALSE") -> str:
+    """grps: the groups that joining the pairs in order gives, component by component. grp and weak stand beside nodes.
+
+    apart: which pairs of contacts m and n must not be joined, besides those that conflict.
+    """
+    return f"""{SCORED},
 und AS (SELECT a, b FROM scored UNION ALL SELECT b, a FROM scored),
 reach(p, q) AS (SELECT a, a FROM und UNION SELECT r.p, u.b FROM reach r JOIN und u ON r.q = u.a),
 lab AS (SELECT p AS id, min(q) AS label FROM reach GROUP BY p),
@@ -96,7 +100,7 @@ ed AS (SELECT label, list({{'a': a, 'b': b, 's': score}} ORDER BY score DESC, a,
 near AS (SELECT l.label, l.id AS a, m.id AS b FROM lab l JOIN lab m ON l.label = m.label AND l.id < m.id),
 ncmp AS ({compared("near")}),
 bad AS (SELECT label, list({{'a': near.a, 'b': near.b}}) AS apart FROM near JOIN ncmp USING (a, b) JOIN x m ON m.id = a JOIN x n ON n.id = b
-  WHERE names = 'different' OR m.pid % 12 <> n.pid % 12 OR m.pid % 28 <> n.pid % 28 GROUP BY label),
+  WHERE names = 'different' OR m.pid % 12 <> n.pid % 12 OR m.pid % 28 <> n.pid % 28 OR ({apart}) GROUP BY label),
 walk(label, k, nodes, grp, weak) AS (
   SELECT label, 0, nodes, nodes, list_transform(nodes, lambda n: 'inf'::FLOAT) FROM comp
   UNION ALL
@@ -113,6 +117,9 @@ grps AS (SELECT min(id) AS grp, list(id ORDER BY id) AS members, min(weak) AS sc
 tiered AS (SELECT *, CASE WHEN score >= 1::FLOAT THEN 'sure' WHEN score >= 0.7::FLOAT THEN 'likely' WHEN score >= 0.4::FLOAT THEN 'check' END AS tier FROM grps)"""
 
 
+GROUPS = groups()
+
+
 def golden(merges: str) -> str:
     """gold: a merged contact for each row (merge, members) of a table. Places are those of the members in id order."""
     return f"""

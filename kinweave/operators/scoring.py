@@ -18,7 +18,7 @@ def said(weight: float | Column, text: str, **parts: Column) -> Column:
     """Evidence of a weight: one of the fixed texts, with its parts filled in."""
     pieces = []
     for plain, name, *_ in string.Formatter().parse(EVIDENCE[text]):
-        pieces += [F.lit(plain)] * bool(plain) + [parts[name]] * bool(name)
+        pieces += ([F.lit(plain)] if plain else []) + ([parts[name]] if name else [])
     return F.struct(F.concat(*pieces).alias("text"), (weight if isinstance(weight, Column) else F.lit(weight)).cast("float").alias("weight"))
 
 

@@ -43,7 +43,10 @@ def problems(contacts: DataFrame, region: str = "US") -> Problems:
     return Problems(full.where(~named).select("id"), numbers.where("n.has = false").select("id", "n.number"), rows.where("void").select("id"))
 
 
-def analyze(contacts: DataFrame, region: str = "US", not_duplicates: DataFrame | None = None, *, cap: int = MAX_BLOCK, large: DataFrame | None = None) -> Analysis:
+def analyze(
+    contacts: DataFrame, region: str = "US", not_duplicates: DataFrame | None = None, *, cap: int = MAX_BLOCK,
+    large: DataFrame | None = None,
+) -> Analysis:
     """not_duplicates: (a, b) of contacts that a user said are different people. large: keys over the cap in a book that contacts are a part of."""
     prepared = checkpoint(prepare(contacts, region))
     shared = checkpoint(shared_identifiers(prepared))

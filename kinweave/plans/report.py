@@ -26,7 +26,10 @@ def group_rows(analysis: Analysis, contacts: DataFrame) -> DataFrame:
     return ordered(rows)
 
 
-def json_report(analysis: Analysis, contacts: DataFrame, issues: DataFrame, files: DataFrame, region: str, top: int | None = None, summary: DataFrame | None = None) -> str:
+def json_report(
+    analysis: Analysis, contacts: DataFrame, issues: DataFrame, files: DataFrame, region: str,
+    top: int | None = None, summary: DataFrame | None = None,
+) -> str:
     """The report as JSON. top: at most so many groups (all by default); the driver holds what is reported. summary: of apply_merges."""
     groups = group_rows(analysis, contacts)
     groups = groups.limit(top) if top is not None else groups

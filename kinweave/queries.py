@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .engine_sql import GROUPS, SCORED, SHARED, WORDS, compared, golden
+from .engine_sql import GROUPS, SCORED, SHARED, WORDS, compared, golden, groups
 from .functions import columns as K
 from .functions import udfs
 from .functions.names import outside_brackets
@@ -23,7 +23,7 @@ from .operators.prepare import prepare
 from .operators.shared import shared_identifiers
 from .operators.survivorship import CHOICES, apply_merges, from_groups, golden_records
 from .plans.analyze import analyze, problems, shown_ids
-from .plans.evaluate import pair_quality, true_pairs
+from .plans.evaluate import first_missed, first_wrong, missed_by_damage, pair_quality, trap_table, true_pairs
 from .plans.report import group_rows
 from .schema import ADDRESS, EXTRAS, NAME_PARTS, PHOTO, labelled
 from .sinks.vcard import cards, escaped, quoted
@@ -400,6 +400,101 @@ def er_field_label(spark, sf_dir):
     return contacts(spark, sf_dir).select("id", K.field_label(F.col("phones")[0]["types"], F.col("phones")[0]["label"]).alias("label"))
 
 
+APART_SQL = groups("m.pid % 7 = 0 AND n.pid = m.pid AND m.copy + n.copy = 2")
+
+
+@query(f"WITH RECURSIVE {CHAIN}, {APART_SQL} SELECT grp AS \"group\", array_to_string(members, ',') AS members, round(score::DOUBLE, 4) AS score, tier FROM tiered")
+def er_groups_kept_apart(spark, sf_dir):
+    """Groups when a user has said of each seventh person that the first and the last copy are different people, the later one named first."""
+    v = person_view(spark, sf_dir).where("pid % 7 = 0 and copy <> 1")
+    first, last = v.where("copy = 0").select("pid", F.col("id").alias("b")), v.where("copy = 2").select("pid", F.col("id").alias("a"))
+    found = analyze(contacts(spark, sf_dir), "IN", first.join(last, "pid").select("a", "b")).groups
+    return found.select("group", ids_of("members").alias("members"), F.round(F.col("score").cast("double"), 4).alias("score"), "tier")
+
+
+@query(GROUP_SQL + """, u AS (SELECT grp, unnest(members) AS id FROM tiered WHERE tier IN ('sure', 'likely'))
+SELECT (SELECT count(*) FROM v) AS contacts_in, (SELECT count(*) FROM v) - (SELECT count(*) FROM u) + (SELECT count(DISTINCT grp) FROM u) AS contacts_out, (SELECT count(DISTINCT grp) FROM u) AS groups_merged, 0::BIGINT AS empty_dropped""")
+def er_summary(spark, sf_dir):
+    c = contacts(spark, sf_dir)
+    return apply_merges(c, from_groups(analyze(c, "IN").groups, "likely"), "IN").summary
+
+
+AWKWARD_SUMMARY_SQL = """SELECT count(*) AS contacts_in, count(*) FILTER (NOT (nameless AND m = 2)) AS contacts_out, 0::BIGINT AS groups_merged, count(*) FILTER (nameless AND m = 2) AS empty_dropped FROM a"""
+
+
+@query(f"WITH {AWKWARD_SQL} {AWKWARD_SUMMARY_SQL}")
+def er_empty_dropped(spark, sf_dir):
+    """The summary of a book in which nothing is merged and empty contacts are left out."""
+    none = by_person(spark, sf_dir).limit(0)
+    return apply_merges(awkward(spark, sf_dir), none, "IN").summary
+
+
+TRUTH_SQL = """u AS (SELECT grp, tier, unnest(members) AS id FROM tiered), found AS (SELECT p.grp, p.tier, p.id AS a, q.id AS b FROM u p JOIN u q ON p.grp = q.grp AND p.id < q.id),
+truth AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.pid = b.pid AND a.id < b.id)"""
+
+
+def truth_of(spark, sf_dir) -> DataFrame:
+    return person_view(spark, sf_dir).select("id", F.col("pid").alias("person"))
+
+
+@query(GROUP_SQL + f""", {TRUTH_SQL}, missed AS (SELECT a, b FROM truth EXCEPT SELECT a, b FROM found WHERE tier = 'likely' ORDER BY a, b LIMIT 5)
+SELECT a, b, m.formatted_name AS name_a, n.formatted_name AS name_b, m.phone AS phone_a, n.email AS email_b FROM missed JOIN v m ON m.id = a JOIN v n ON n.id = b""")
+def er_first_missed(spark, sf_dir):
+    """The first five pairs of one person that likely groups don't hold."""
+    c = contacts(spark, sf_dir)
+    rows = first_missed(analyze(c, "IN").groups.where("tier = 'likely'"), truth_of(spark, sf_dir), c, 5)  # a report of the first few
+    one = lambda column: F.coalesce(F.get(column, F.lit(0)), F.lit(""))
+    name = lambda s: F.col(f"contact_{s}.name").alias(f"name_{s}")
+    return rows.select("a", "b", name("a"), name("b"), one(F.col("contact_a.phones")).alias("phone_a"), one(F.col("contact_b.emails")).alias("email_b"))
+
+
+@query(GROUP_SQL + f""", {TRUTH_SQL},
+wrong AS (SELECT a, b, grp FROM found WHERE NOT EXISTS (SELECT 1 FROM v m JOIN v n ON m.pid = n.pid AND m.copy <> 2 AND n.copy <> 2 WHERE m.id = a AND n.id = b) ORDER BY a, b LIMIT 7)
+SELECT a, b, tier, evidence AS why FROM wrong JOIN tiered USING (grp) LEFT JOIN scored USING (a, b)""")
+def er_first_wrong(spark, sf_dir):
+    """The first seven wrong pairs against a truth in which the last copies are people of their own."""
+    found = analysed(spark, sf_dir)
+    person = F.when(F.col("copy") == 2, -1 - F.col("id")).otherwise(F.col("pid"))
+    truth = person_view(spark, sf_dir).select("id", person.alias("person"))
+    return first_wrong(found.groups, found.pairs, truth, 7)  # a report of the first few
+
+
+@query(GROUP_SQL + """, u AS (SELECT grp, tier, unnest(members) AS id FROM tiered), who AS (SELECT grp, tier, CASE copy WHEN 2 THEN -1 - pid ELSE pid END AS person FROM u JOIN v USING (id)),
+traps AS (SELECT DISTINCT CASE pid % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS kind, -1 - pid AS person1, pid AS person2 FROM v),
+pairs AS (SELECT p.person AS person1, q.person AS person2, bool_or(p.tier = 'sure') AS sure FROM who p JOIN who q ON p.grp = q.grp GROUP BY 1, 2)
+SELECT kind, count(*) AS total, count(sure) AS wrong, count(*) FILTER (sure) AS wrong_as_sure FROM traps LEFT JOIN pairs USING (person1, person2) GROUP BY kind""")
+def er_trap_table(spark, sf_dir):
+    """Traps: each person's last copy as another person who must not be grouped with them."""
+    person = F.when(F.col("copy") == 2, -1 - F.col("pid")).otherwise(F.col("pid"))
+    truth = person_view(spark, sf_dir).select("id", person.alias("person"))
+    kind = F.when(F.col("pid") % 2 == 0, "even").otherwise("odd")
+    traps = person_view(spark, sf_dir).select(kind.alias("kind"), (-1 - F.col("pid")).alias("person1"), F.col("pid").alias("person2")).distinct()
+    return trap_table(analysed(spark, sf_dir).groups, truth, traps)
+
+
+@query(GROUP_SQL + f""", {TRUTH_SQL}, tags AS (SELECT id, CASE copy WHEN 1 THEN ['name', 'kind' || (pid + CAST(floor(pid / 16) AS BIGINT)) % 4] WHEN 2 THEN ['case'] ELSE [] END AS t FROM v),
+pairs AS (SELECT a, b, list_distinct(list_concat(m.t, n.t)) AS t, EXISTS (SELECT 1 FROM found f WHERE f.a = truth.a AND f.b = truth.b) AS hit FROM truth JOIN tags m ON m.id = a JOIN tags n ON n.id = b)
+SELECT tag, count(*) AS total, count(*) FILTER (NOT hit) AS missed FROM (SELECT hit, unnest(CASE WHEN len(t) = 0 THEN ['none'] ELSE t END) AS tag FROM pairs) GROUP BY tag""")
+def er_missed_by_damage(spark, sf_dir):
+    v = person_view(spark, sf_dir)
+    kind = F.concat(F.lit("kind"), ((F.col("pid") + F.floor(F.col("pid") / 16)) % 4).cast("string"))
+    none = F.array().cast("array<string>")
+    tags = F.when(F.col("copy") == 1, F.array(F.lit("name"), kind)).when(F.col("copy") == 2, F.array(F.lit("case"))).otherwise(none)
+    return missed_by_damage(analysed(spark, sf_dir).groups, truth_of(spark, sf_dir), v.select("id", tags.alias("tags")))
+
+
+@query(BY_PERSON_SQL + """, base AS (SELECT gname.merge, q.g, q.gs FROM gname JOIN q ON q.id = pick),
+nick AS (SELECT gm.merge, gm.g, min(gm.id) AS id, arg_min(CASE gm.copy WHEN 2 THEN upper(gm.given) ELSE gm.wg END, gm.id) AS word FROM gm JOIN base ON base.merge = gm.merge WHERE gm.g <> base.g AND list_has_any(gm.gs, base.gs) GROUP BY gm.merge, gm.g),
+tel AS (SELECT merge, min(id) AS first, CASE WHEN arg_min(phone, id) LIKE '+%' THEN arg_min(phone, id) ELSE coalesce(arg_min(phone, id) FILTER (phone LIKE '+%'), arg_min(phone, id)) END
+  || '/' || coalesce(string_agg(CASE copy WHEN 0 THEN 'cell' WHEN 2 THEN 'home' END, ' ' ORDER BY id), '') || '/' || CASE WHEN bool_or(copy = 1) THEN 'Office' ELSE '' END AS t FROM gm GROUP BY merge, phone_key)
+SELECT merge AS pid, coalesce((SELECT string_agg(word, ',' ORDER BY id) FROM nick WHERE nick.merge = gold.merge), '') AS nicknames, (SELECT string_agg(t, ';' ORDER BY first) FROM tel WHERE tel.merge = gold.merge) AS phones FROM gold""")
+def er_golden_fields(spark, sf_dir):
+    """Nicknames won from other copies' names, and numbers with the types and the label of all copies that have them."""
+    gold = golden_records(contacts(spark, sf_dir), by_person(spark, sf_dir), "IN")
+    phone = lambda p: F.concat_ws("/", p["value"], F.array_join(p["types"], " "), F.coalesce(p["label"], F.lit("")))
+    return gold.select(F.col("merge").alias("pid"), F.array_join("contact.nicknames", ",").alias("nicknames"), F.array_join(F.transform("contact.phones", phone), ";").alias("phones"))
+
+
 # --- files ------------------------------------------------------------------------------------------
 
 FIELD_LINES = """'BEGIN:VCARD' || e || 'VERSION:3.0' || e || 'PRODID:-//kinweave//EN' || e || 'N:;;;;' || e || 'FN:' || replace(formatted_name, ',', '\\,') || e || CASE WHEN org = '' THEN '' ELSE 'ORG:' || org || e END

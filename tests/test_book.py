@@ -36,6 +36,19 @@ def test_ids_are_dense_whatever_the_paths(spark, tmp_path):
     assert one != two
 
 
+def test_never_over_an_input(spark, tmp_path):
+    from kinweave.sinks.vcard import write_vcards
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(csv("Ada"))
+    book = read_book(spark, [str(tmp_path / "in" / "a.csv")]).contacts
+    for path in ("in/a.csv", "in"):
+        with pytest.raises(ValueError, match="was read"):
+            write_vcards(book, str(tmp_path / path), inputs=[str(tmp_path / "in" / "a.csv")])
+    write_vcards(book, str(tmp_path / "in" / "out"), inputs=[str(tmp_path / "in" / "a.csv")])
+    assert (tmp_path / "in" / "a.csv").read_text() == csv("Ada") and (tmp_path / "in" / "out").is_dir()
+
+
 def test_review_is_saved_for_its_files_and_keys_work():
     r = Review((((0, 1, 2), "sure"), ((3, 4), "likely")))
     r = pressed(pressed(r, "2"), "m")
