@@ -90,7 +90,12 @@ def contaminated(
     span = F.least(n, F.lit(window))
     same = F.zip_with("iw", "w", lambda x, y: F.when(x == y, 1).otherwise(0))
     laid = laid.select("id", "item", "offset", n.alias("n"), span.alias("span"), same.alias("same"))
-    counts = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("span")), lambda s: F.struct(F.aggregate(F.slice("same", s + 1, F.col("span")), F.lit(0), lambda a, x: a + x).alias("matched"), (-(F.col("offset") + s)).alias("back")))
+
+    def matched(places: Column) -> Column:
+        in_window = lambda s: F.aggregate(F.slice(places, s + 1, F.col("span")), F.lit(0), lambda a, x: a + x)
+        return F.transform(F.sequence(F.lit(0), F.col("n") - F.col("span")), lambda s: F.struct(in_window(s).alias("matched"), (-(F.col("offset") + s)).alias("back")))
+
+    counts = let(F.col("same"), matched)  # the places are compared once, not for each window
     laid = laid.select("id", "item", "span", F.array_max(counts).alias("best"))
     enough = F.col("best.matched") >= F.ceil(F.col("span") * F.lit(similarity) - F.lit(1e-9))
     best = laid.where(enough).groupBy("id", "item").agg(F.max(F.struct("best.matched", "best.back", "span")).alias("x"))

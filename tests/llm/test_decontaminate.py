@@ -95,6 +95,29 @@ def test_short_items_with_every_tolerated_replacement(spark, n):
     assert {(x["doc_id"], x["item_id"]): (x["matched"], x["start"]) for x in got} == want
 
 
+def test_very_long_texts(spark):
+    """200,000 words with an item at the start, in the middle and at the end, and an item longer than a document."""
+    w = [f"w{i}" for i in range(200_000)]
+    item = [f"bench{i}" for i in range(20)]
+    for at in (0, 100_000, 199_980):
+        w[at : at + 20] = item
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(item[3:]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item + w[20:30_000]))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["start"]) for r in d.contaminated(docs, items).collect()}
+    assert got == {(1, 1): (13, 0), (2, 1): (13, 0), (1, 2): (13, 0), (2, 2): (13, 0)}
+
+
+@pytest.mark.parametrize("share", [10, 0])
+def test_hits_beyond_the_broadcast(spark, monkeypatch, share):
+    monkeypatch.setattr(d, "BROADCAST_HITS", share)
+    monkeypatch.setattr(d, "BROADCAST_ROWS", share)
+    rows = documents()
+    source = [words(x[1]) for x in rows if x[1] and len(words(x[1])) > 60]
+    items = [(k, " ".join(w[k : k + 30])) for k, w in enumerate(source[:6])]
+    got = d.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]): (x["matched"], x["start"]) for x in got} == brute(rows, items)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.contaminated(frame(spark), none).count() == 0
