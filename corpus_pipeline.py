@@ -20,10 +20,14 @@ FOREIGN = 0.6
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts foreign to all learned languages."""
-    kept = tuple(c for c in docs.columns if c != "doc_id")
-    learned = docs.where(~langid.held_out("doc_id"))
-    found = langid.identify(docs, learned, keep=kept)
-    return found.where((F.col("lang_pred") != "und") & (F.col("rate") <= FOREIGN)).select(*docs.columns)
+    numbered = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of the operator's own
+    own = docs.select(*[F.col(c).alias(n) for c, n in numbered.items()])
+    doc_id, text, lang = (numbered[c] for c in ("doc_id", "text", "lang"))
+    learned = own.where(~langid.held_out(doc_id))
+    kept = tuple(n for n in own.columns if n != doc_id)
+    found = langid.identify(own, learned, id_col=doc_id, text_col=text, label_col=lang, keep=kept)
+    left = found.where((F.col("lang_pred") != "und") & (F.col("rate") <= FOREIGN))
+    return left.select(*[F.col(n).alias(c) for c, n in numbered.items()])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

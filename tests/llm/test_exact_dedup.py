@@ -1,8 +1,10 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm import exchange, lines, substrings, suffixes
 
@@ -146,6 +148,39 @@ def test_lines(spark):
     assert got == {i: (len(x), x) for i, x in want.items()}
 
 
+def test_lines_native(spark):
+    plan = lines.dedup_lines(frame(spark))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|ArrowEval", plan)
+
+
+def test_very_long_lines(spark):
+    """A line of 60,000 words, the same with one word replaced, deleted and inserted, and with two replaced; and a text of 30,000 lines."""
+    w = [f"w{i % 5003}x{i % 7}" for i in range(60_000)]
+    changed = [w[:500] + ["other"] + w[501:], w[:-700] + w[-699:], w[:40_000] + ["more"] + w[40_000:], w[:10] + ["other"] + w[11:50_000] + ["another"] + w[50_001:]]
+    rows = [(i, " ".join(x)) for i, x in enumerate([w, *changed])]
+    rows.append((10, "\n".join(f"line number {i} of a very long text" for i in range(30_000))))
+    rows.append((11, "\n".join(f"line number {i} of a very long text" for i in range(0, 30_000, 2)) + "\nlast one"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    decisions = lines.dedup_lines(docs)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in decisions.collect()}
+    assert [got[i][1] for i in range(5)] == [0, 1, 1, 1, 0] and got[11] == (15_001, 15_000) and got[10][0] == 30_000
+    left = {r["doc_id"]: r["text"] for r in lines.without_lines(docs, decisions).collect()}
+    assert left[11] == "last one" and left[1] == "" and left[0] == rows[0][1]
+
+
+def test_hashes_of_variants(spark):
+    """A line without its i-th word has the hash of the shorter line, whatever its length."""
+    r = random.Random(1)
+    cases = [[r.choice("ab") for _ in range(n)] for n in (5, 6, 255, 256, 257, 600)]
+    rows = [(k, w) for k, w in enumerate(cases)]
+    rows += [(1000 * (k + 1) + i, w[:i] + w[i + 1 :]) for k, w in enumerate(cases) for i in {0, 1, len(w) // 2, len(w) - 1}]
+    got = {x["k"]: x["v"] for x in spark.createDataFrame(rows, "k long, w array<string>").select("k", lines.variants(F.col("w"), 1).alias("v")).collect()}
+    for k, w in enumerate(cases):
+        assert len(got[k]) == len(w) + 1
+        for i in {0, 1, len(w) // 2, len(w) - 1}:
+            assert got[k][1 + i] == got[1000 * (k + 1) + i][0]
+
+
 def test_lines_leave_texts(spark):
     rows = documents()
     docs = frame(spark, rows)

@@ -1,6 +1,7 @@
 import importlib.util
 
 import pytest
+from pyspark.sql import functions as F
 
 from .corpus import SCHEMA, documents
 from .test_exact_dedup import brute_lines
@@ -47,6 +48,19 @@ def test_stages_one_by_one(spark, folder, tmp_path):
     assert {r[0] for r in after} == {r[0] for r in before}
 
 
+def test_stages_keep_columns_of_any_name(spark, folder):
+    """Names that the stages use themselves come back as they were."""
+    names = ["id", "removed", "__id", "__removed", "first_id", "hit_id", "kept", "t", "w", "class_id", "n_removed", "rate"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("n_chars")
+    docs = docs.select("*", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(n) for n in names])
+    for name, stage in pipeline.STAGES[:-1]:
+        left = stage(spark, docs, folder)
+        assert left.columns == docs.columns, name
+        rows = left.collect()
+        assert rows and all(r[n] == f"{n}{'null' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names), name
+    assert pipeline.STAGES[-1][1](spark, docs, folder).count() > 0
+
+
 def test_run(spark, folder):
     out = pipeline.run(spark, folder)
     assert 3002 not in {r["doc_id"] for r in out.collect()} and out.count() > 10
