@@ -16,13 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker remembers: some 30 bytes each.
-CHUNKS = 300_000
+CHUNKS = 500_000
 #: Words that it remembers between two calls: some 150 bytes each.
-WORDS = 150_000
+WORDS = 250_000
 #: Chunks that go through the whole tokenizer at once.
 JOINED = 4000
 #: Bytes of text split at once.
-SPLIT_AT_ONCE = 2_500_000
+SPLIT_AT_ONCE = 4_000_000
 #: The parts for which chunks are independent, as they stand in the tokenizer's file.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
