@@ -16,6 +16,22 @@ def true_pairs(truth: DataFrame) -> DataFrame:
     return truth.select("person", F.col("id").alias("a")).join(truth.select("person", F.col("id").alias("b")), "person").where("a < b").select("a", "b")
 
 
+def pair_sets(entries: DataFrame) -> DataFrame:
+    """entries: id, group, person; an id that comes again has the same ones, and a null group or person pairs with none.
+
+    The pairs a < b of one group (found) and of one person (true), counted without making them: all found and true ones, the different
+    ones in both, and those found (true) that are left after as many true (found) ones are taken away.
+    """
+    each = entries.where("id is not null").groupBy("group", "person", "id").agg(F.count(F.lit(1)).alias("n"))
+    cells = each.groupBy("group", "person").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("ids"))
+    pairs = F.expr("(n * n - same) div 2")
+    n = lambda df, *columns: df.agg(*[F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in columns])
+    by = lambda column: cells.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    both = n(cells.where("group is not null and person is not null"), ("n_right", F.expr("ids * (ids - 1) div 2")), ("both", pairs))
+    counted = n(by("group"), ("n_found", pairs)).crossJoin(n(by("person"), ("n_true", pairs))).crossJoin(both)
+    return counted.select("n_found", "n_true", "n_right", (F.col("n_found") - F.col("both")).alias("n_wrong"), (F.col("n_true") - F.col("both")).alias("n_missed"))
+
+
 def pair_quality(groups: DataFrame, truth: DataFrame) -> DataFrame:
     """For each cumulative level: pairs found, right and true, precision and recall, and groups that are exactly a person's entries."""
     true = true_pairs(truth)

@@ -17,13 +17,13 @@ from .functions.names import outside_brackets
 from .functions.survivors import name_quality, url_key
 from .operators.blocking import candidates, capped_keys
 from .operators.checkpoints import checkpoint, own_dir
-from .operators.clustering import group_pairs, member_pairs
+from .operators.clustering import group_pairs
 from .operators.components import components
 from .operators.prepare import prepare
 from .operators.shared import shared_identifiers
 from .operators.survivorship import CHOICES, apply_merges, from_groups, golden_records
 from .plans.analyze import analyze, problems, shown_ids
-from .plans.evaluate import first_missed, first_wrong, missed_by_damage, pair_quality, trap_table, true_pairs
+from .plans.evaluate import first_missed, first_wrong, missed_by_damage, pair_quality, pair_sets, trap_table
 from .plans.report import group_rows
 from .schema import ADDRESS, EXTRAS, NAME_PARTS, PHOTO, labelled
 from .sinks.vcard import cards, escaped, quoted
@@ -559,10 +559,8 @@ SELECT (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM t) AS n_true,
   (SELECT count(*) FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM t)) AS n_wrong, (SELECT count(*) FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM f)) AS n_missed""")
 def er_pair_sets(spark, sf_dir):
     v = person_view(spark, sf_dir)
-    groups = v.groupBy("given", "family").agg(F.min("id").alias("group"), F.collect_list("id").alias("members"))
-    found, true = member_pairs(groups), true_pairs(v.select("id", F.col("pid").alias("person")))
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return n(found, "n_found").crossJoin(n(true, "n_true")).crossJoin(n(found.intersect(true), "n_right")).crossJoin(n(found.exceptAll(true), "n_wrong")).crossJoin(n(true.exceptAll(found), "n_missed"))
+    group = F.when(F.col("given").isNotNull() & F.col("family").isNotNull(), F.struct("given", "family"))
+    return pair_sets(v.select("id", group.alias("group"), F.col("pid").alias("person")))
 
 
 @query("SELECT event_type, count(*) AS n, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS high, printf('%.1f%%', 100.0 * sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) / count(*)) AS share FROM events GROUP BY event_type")

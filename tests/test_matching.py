@@ -173,3 +173,24 @@ def test_batches_touch_only_what_they_must(spark, tmp_path):
         as_set = lambda found: {(tuple(r["members"]), r["score"], r["tier"]) for r in found}
         assert as_set(got) == as_set(whole) and any(r["members"] == [20, 21] for r in got)
     assert {30, 31} <= again
+
+
+def test_pair_sets_are_counted_not_made(spark, tmp_path):
+    from itertools import combinations
+
+    from kinweave import queries
+
+    r = random.Random(4)
+    who = [(i, r.choice(["x", "y", None]), r.choice([1, 2, 3, None])) for i in range(60)]
+    rows = who + who[:15] + [(None, "x", 1)]
+    of = lambda k: sorted((a[0], b[0]) for a, b in combinations(sorted((w for w in rows if w[0] is not None), key=lambda w: w[0]), 2) if a[0] != b[0] and a[k] is not None and a[k] == b[k])
+    found, true = of(1), of(2)
+    less = lambda x, y: sum(max(0, x.count(p) - y.count(p)) for p in set(x))
+    got = evaluate.pair_sets(spark.createDataFrame(rows, "id long, group string, person int")).first()
+    assert tuple(got) == (len(found), len(true), len(set(found) & set(true)), less(found, true), less(true, found))
+    nothing = evaluate.pair_sets(spark.createDataFrame([], "id long, group string, person int")).first()
+    assert tuple(nothing) == (0, 0, 0, 0, 0)
+    # 150,000 contacts of one name: 11 thousand million pairs, more than a disk holds
+    n = 150_000
+    spark.range(n).select((F.floor(F.col("id") / 3) * 768 + F.col("id") % 3).alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    assert tuple(queries.queries()["er_pair_sets"](spark, str(tmp_path)).first()) == (n * (n - 1) // 2, n, n, n * (n - 1) // 2 - n, 0)
