@@ -48,8 +48,12 @@ from .substrings import rolled, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 TAKEN, ROWS, BANDS = 2, 2, 16
 SMALL, ROUNDS = 16, 3
+#: Rounds of the classes that prefixes are joined by; what is joined further only costs pairs.
+NEAR_ROUNDS = 4
 #: Counters of shingles by hash: the order of a prefix join needs no exact frequencies.
 SLOTS, SLOT_BLOCKS = 1 << 20, 32
+#: Bytes of laid out texts that a worker remembers while it compares pairs.
+KNOWN = 32_000_000
 #: Shingles of minor texts that are broadcast, so that others only emit these: some 4 MB.
 WANTED = 500_000
 
@@ -153,17 +157,23 @@ def common_in_order(a: list[int], b: list[int], off: int) -> int:
     return lo + end + len(b) - row.bit_count()
 
 
-def similar(a: bytes, b: bytes, shingle: int, least: float) -> bool:
-    """Whether the ordered Jaccard similarity of the texts' shingles is at least `least`."""
-    parts = []
-    for t in (a, b):
-        words, _ = word_hashes(np.frombuffer(t, np.uint8))
-        values, counts = shingles(words, np.array([len(words)]), shingle)
-        parts.append((values, labelled(values, counts)))
-    (x, lx), (y, ly) = parts
+def laid_out(t: bytes, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's shingles in order, and its labelled ones sorted."""
+    words, _ = word_hashes(np.frombuffer(t, np.uint8))
+    values, counts = shingles(words, np.array([len(words)]), shingle)
+    return values, np.sort(labelled(values, counts))
+
+
+def similar(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], least: float) -> bool:
+    """Whether the ordered Jaccard similarity of two texts' shingles, as laid out, is at least `least`."""
+    (x, lx), (y, ly) = one, other
     total = len(x) + len(y)
     need = least * total / (1 + least)
-    if min(len(x), len(y)) < need - 1e-9 or len(np.intersect1d(lx, ly, assume_unique=True)) < need - 1e-9:
+    if min(len(x), len(y)) < need - 1e-9:
+        return False
+    at = np.searchsorted(ly, lx)
+    at[at == len(ly)] = 0
+    if np.count_nonzero(ly[at] == lx) < need - 1e-9:
         return False
     common = common_in_order(x.tolist(), y.tolist(), int(total - 2 * need) + 1)
     return common >= least * (total - common) - 1e-9
@@ -208,9 +218,24 @@ def verified(pairs: DataFrame, words: DataFrame, shingle: int, least: float) ->
 
     def run(batches):
         open_up = zstandard.ZstdDecompressor().decompress
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        held = 0
+
+        def own(text: bytes, z: bytes) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
+            found = known.get(text)
+            if found is None:
+                found = laid_out(open_up(z), shingle)
+                if held > KNOWN:
+                    known.clear()
+                    held = 0
+                known[text] = found
+                held += 16 * len(found[0]) + 500
+            return found
+
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(4)]
-            kept = [(x, y) for x, y, p, q in zip(*cols, strict=True) if similar(open_up(p), open_up(q), shingle, least)]
+            kept = [(x, y) for x, y, p, q in zip(*cols, strict=True) if similar(own(x, p), own(y, q), least)]
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.binary()) for i in range(2)], names=["a", "b"])
 
     left = words.select(F.col("text").alias("a"), F.col("z").alias("za"))
@@ -222,8 +247,8 @@ def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def prefix_pairs(texts: DataFrame, words: DataFrame, shingle: int, least: float) -> DataFrame:
-    """texts: text, label, minor. All pairs across labels, one text at least minor, that can be similar: those with a shingle in common among their rarest ones."""
+def prefixes(texts: DataFrame, words: DataFrame, shingle: int, least: float) -> DataFrame:
+    """texts: text, label, minor. The rarest shingles (shingle, rank) of each: of two similar texts, one at least minor, the prefixes have one in common."""
     held = checkpoint(texts.join(words, "text").select("text", "label", "minor", "z"))
 
     def own(z: bytes) -> np.ndarray:
@@ -284,14 +309,26 @@ def prefix_pairs(texts: DataFrame, words: DataFrame, shingle: int, least: float)
     wanted = None
     if many.count() <= WANTED:
         wanted = np.sort(np.array([r["shingle"] for r in many.collect()], np.int64).view(np.uint64))
-    every = few.union(made(held.where("not minor"), wanted))
-    every = checkpoint(every)
+    return checkpoint(few.union(made(held.where("not minor"), wanted)))
+
+
+def across_labels(every: DataFrame) -> DataFrame:
+    """The shingles that several labels and a minor text have."""
     shared = every.groupBy("shingle").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("minor").alias("minor")).where("l1 <> l2 and minor").select("shingle")
-    every = checkpoint(every.join(shared, "shingle", "left_semi"))
-    other = every.select("shingle", F.col("text").alias("text2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("rank").alias("rank2"), F.col("minor").alias("minor2"))
+    return checkpoint(every.join(shared, "shingle", "left_semi"))
+
+
+def prefix_pairs(every: DataFrame, others: DataFrame, least: float, both_ways: bool) -> DataFrame:
+    """All pairs of a minor text and one of the others, across labels, that can be similar by a shingle that their prefixes share.
+
+    both_ways: the others hold every minor text too, so two minor ones would meet twice.
+    """
+    other = others.select("shingle", F.col("text").alias("text2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("rank").alias("rank2"), F.col("minor").alias("minor2"))
     # at the rarest common shingle all common ones are still to come: as many as two similar texts need must be left in both
     long_enough = F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9
-    apart = (F.col("label") != F.col("label2")) & (~F.col("minor2") | (F.col("text") < F.col("text2")))  # two minor texts meet once
+    apart = F.col("label") != F.col("label2")
+    if both_ways:
+        apart &= ~F.col("minor2") | (F.col("text") < F.col("text2"))
     return every.where("minor").join(other, "shingle").where(apart & long_enough).select(*ordered(F.col("text"), F.col("text2"))).distinct()
 
 
@@ -306,9 +343,9 @@ def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, smal
     tried = checkpoint(entries.join(hubs, "key").where("text <> hub").select(*ordered(F.col("text"), F.col("hub"))).distinct())
     found = checkpoint(verified(tried, words, shingle, least))
 
-    def mixed() -> DataFrame:
+    def mixed(near: int = 2) -> DataFrame:
         """The entries of buckets that hold several classes: what connects those is all that can matter."""
-        label = components(found, rounds=2)  # classes as far as two rounds find them: stars, whole
+        label = checkpoint(components(found, rounds=near))  # classes as far as two rounds find them: stars, whole
         classed = entries.join(label.withColumnRenamed("node", "text"), "text", "left").select("key", "text", "size", "degree", F.coalesce("label", "text").alias("label"))
         keys = classed.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key")
         return checkpoint(classed.join(keys, "key", "left_semi"))
@@ -333,16 +370,26 @@ def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, smal
         if good.isEmpty():
             continue
         found = checkpoint(found.union(good))
-    rest = mixed().where(F.col("size") > small)
+    rest = mixed(NEAR_ROUNDS).where(F.col("size") > small)
     # of two texts of different classes in a bucket one isn't of its largest class
     shares = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = shares.groupBy("key").agg(F.max(F.struct("n", "label")).alias("x")).select("key", F.col("x.label").alias("largest"))
     rest = rest.join(largest, "key").groupBy("text", "label").agg(F.max(F.col("label") != F.col("largest")).alias("minor"))
     rest = checkpoint(rest)
-    if not rest.isEmpty():
-        new = prefix_pairs(rest, words, shingle, least).join(tried, ["a", "b"], "left_anti")
-        found = found.union(checkpoint(verified(new, words, shingle, least)))
-    return found
+    if rest.isEmpty():
+        return found
+    every = across_labels(prefixes(rest, words, shingle, least))
+    # one text of a class for it at each shingle, so that texts that join a large class aren't held against all of it
+    one = every.groupBy("shingle", "label").agg(F.min_by(F.struct("text", "n", "rank", "minor"), F.struct("rank", "text")).alias("o")).select("shingle", "label", "o.*")
+    new = checkpoint(prefix_pairs(every, one, least, False).join(tried, ["a", "b"], "left_anti"))
+    tried = tried.union(new)
+    good = checkpoint(verified(new, words, shingle, least))
+    if not good.isEmpty():
+        found = checkpoint(found.union(good))
+        label = components(found, rounds=NEAR_ROUNDS).withColumnRenamed("node", "text").withColumnRenamed("label", "now")
+        every = across_labels(every.join(label, "text", "left").withColumn("label", F.coalesce("now", "label")).drop("now"))
+    new = prefix_pairs(every, every, least, True).join(tried, ["a", "b"], "left_anti")
+    return found.union(checkpoint(verified(new, words, shingle, least)))
 
 
 def near_duplicates(
