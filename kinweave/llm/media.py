@@ -18,6 +18,11 @@ the buckets have become small; of images that share a whole descriptor in a buck
 the first. So a pair is verified or connected if it shares MEET chunks in small buckets, or neighbouring chunks
 of a descriptor where its chunks are common ones.
 
+A link's descriptors may differ in NEAR bits without a chunk in common, so the classes are then joined by all pairs across
+them, block by block: a pair is verified if enough corners of the one have a descriptor within NEAR bits in the other, as any link
+needs. Distances are bounded from below by projections to AXES axes, and counted where that bound allows NEAR bits. So no link is
+missed; the cost grows with the square of the different images' corners.
+
 Equal images are one image from the start. Images are PNG (8 bits, not interlaced), PGM and PPM bytes, or arrays of
 grey values with a given width.
 
@@ -52,6 +57,8 @@ CELL, PER_CELL, SIDE = 27, 4, 640
 NEAR, AGREE, SHARE = 40, 4, 0.25
 #: Keys shared before a pair is verified; images of a bucket whose pairs are all made.
 MEET, SMALL = 2, 24
+#: Bytes of corners and descriptors of a block of images, blocks at least (if there are as many images), axes of the projection.
+BLOCK, BLOCKS, AXES = 8_000_000, 8, 96
 #: Matches tried as the one that the others agree with.
 TRIED = 256
 
@@ -322,6 +329,97 @@ def wider_keys(held: DataFrame, described: DataFrame, width: int) -> DataFrame:
     return of.join(described.select("item", "words"), "item").select("item", "label", "keys", "words").mapInArrow(run, "key long, item long, label long")
 
 
+def near_pairs(v: np.ndarray, w: np.ndarray, near: int):
+    """Stretches of v with the places (i, j) of all pairs of descriptors that differ in at most `near` bits: (first, end, i, j)."""
+    signs = lambda x: np.unpackbits(x.view(np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.float32) * 2 - 1
+    sample = signs(w[:: max(1, len(w) // 10_000)])
+    axes = np.linalg.eigh((sample.T @ sample).astype(np.float64))[1][:, -AXES:].astype(np.float32)  # any axes give a lower bound, these a high one
+    low = lambda x: np.concatenate([np.zeros((0, AXES), np.float32), *(signs(x[k : k + 10_000]) @ axes for k in range(0, len(x), 10_000))])
+    a, b = low(v), low(w)
+    one = lambda x: np.ones((len(x), 1), np.float32)
+    square = lambda x: (x * x).sum(axis=1, keepdims=True)
+    # 4 near - |a - b|^2 as one product, with room for rounding
+    left = np.concatenate([2 * a, 4 * near + 0.5 - square(a), one(a)], axis=1)
+    right = np.concatenate([b, one(b), -square(b)], axis=1)
+    wide = 4096
+    right = np.concatenate([right, np.repeat(np.array([[0] * AXES + [0, -1]], np.float32), -len(right) % 8, axis=0)])  # whole words of flags
+    right = np.ascontiguousarray(right.T)
+    for lo in range(0, len(v), 256):
+        rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, right.shape[1], wide):
+            may = (left[lo : lo + 256] @ right[:, at : at + wide]) >= 0
+            across = may.shape[1]
+            some = np.flatnonzero(may.ravel().view(np.uint64))
+            place, bit = np.nonzero(may.ravel().reshape(-1, 8)[some])
+            flat = some[place] * 8 + bit
+            i, j = flat // across + lo, flat % across + at
+            keep = j < len(w)
+            i, j = i[keep], j[keep]
+            use = np.bitwise_count(v[i] ^ w[j]).sum(axis=1, dtype=np.int64) <= near
+            rows.append(i[use])
+            columns.append(j[use])
+        yield lo, min(len(v), lo + 256), np.concatenate(rows), np.concatenate(columns)
+
+
+def block_links(items: list[int], labels: list[int], ours: list[tuple], others: np.ndarray, mine: np.ndarray, near: int, agree: int, share: float) -> list[tuple[int, int]]:
+    """Links that connect different classes among images (mine) and others, by places in the lists, each pair once."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    many = np.array([len(w) for _, w in ours])
+    label = np.array(labels)
+    joined = lambda at: np.concatenate([np.zeros((0, BITS // 64), np.uint64), *(ours[k][1] for k in at)])
+    of, to = np.repeat(np.arange(len(mine)), many[mine]), np.repeat(np.arange(len(others)), many[others])
+    found = []
+    if not len(of) or not len(to):
+        return found
+    left = np.zeros((0, len(others)), np.int32)  # counts of the image that goes on in the next stretch
+    for lo, end, i, j in near_pairs(joined(mine), joined(others), near):
+        first, last = int(of[lo]), int(of[end - 1])
+        counts = np.zeros((last - first + 1, len(others)), np.int32)
+        counts[: len(left)] += left
+        seen = np.unique(i * len(others) + to[j])  # a corner counts once for an image
+        np.add.at(counts, (of[seen // len(others)] - first, seen % len(others)), 1)
+        whole = end == len(of) or of[end] != last
+        left = counts[:0] if whole else counts[-1:]
+        done = counts if whole else counts[:-1]
+        m = mine[first : first + len(done)]
+        need = np.maximum(agree, share * np.minimum(many[m][:, None], many[others][None]))
+        for p, q in np.argwhere((done >= need) & (label[m][:, None] != label[others][None])).tolist():
+            x, y = int(m[p]), int(others[q])
+            if top(labels[x]) != top(labels[y]) and copies(ours[x], ours[y], near, agree, share):
+                root[top(labels[x])] = top(labels[y])
+                found.append((items[x], items[y]))
+    return found
+
+
+def all_links(described: DataFrame, found: DataFrame, near: int, agree: int, share: float, block: int = BLOCK) -> DataFrame:
+    """Links that connect classes which the links found leave apart: all pairs, a task a pair of blocks."""
+    size = described.agg(F.sum(F.length("corners") + F.length("words")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    n = max(1, -(-(size["bytes"] or 0) // block), min(BLOCKS, size["n"] // 50))
+    label = components(found).withColumnRenamed("node", "item")
+    own = F.pmod(F.xxhash64("item"), F.lit(n))
+    held = described.join(label, "item", "left").select("item", F.coalesce("label", "item").alias("label"), "corners", "words", own.alias("block"))
+    of = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
+    pair = (F.least("block", "other") * n + F.greatest("block", "other")).alias("pair")
+    dealt = held.select("*", of).select("item", "label", "corners", "words", "block", pair)
+
+    def run(table: pa.Table) -> pa.Table:
+        at = table.column("pair")[0].as_py()
+        block = table.column("block").to_numpy()
+        read = lambda name, kind, width: [np.frombuffer(x, kind).reshape(-1, width) for x in table.column(name).to_pylist()]
+        ours = list(zip(read("corners", np.float32, 4), read("words", np.uint64, BITS // 64), strict=True))
+        mine, others = np.flatnonzero(block == at // n), np.flatnonzero(block == at % n)
+        kept = block_links(table.column("item").to_pylist(), table.column("label").to_pylist(), ours, others, mine, near, agree, share)
+        return pa.table({"a": pa.array([p[0] for p in kept], pa.int64()), "b": pa.array([p[1] for p in kept], pa.int64())})
+
+    return checkpoint(dealt.repartition(n * (n + 1) // 2, "pair").groupBy("pair").applyInArrow(run, "a long, b long"))
+
+
 def image_copies(
     images: DataFrame, *, id_col: str, media_col: str, width: int | None = None, enlarged: int = 1,
     near: int = NEAR, agree: int = AGREE, share: float = SHARE, meet: int = MEET, small: int = SMALL,
@@ -397,6 +495,8 @@ def image_copies(
         large = large.select("key", "item")
         found = checkpoint(found.union(verified(often(pairs, 1))))
 
+    found = checkpoint(found.union(all_links(described, found, near, agree, share)))
+
     label = components(found).withColumnRenamed("node", "item")
     classes = described.select("item", "image").join(label, "item", "left").select("image", F.coalesce("label", "item").alias("label"))
     own = rows.where("image is not null").groupBy("image").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))

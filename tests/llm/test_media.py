@@ -129,3 +129,39 @@ def r_places(seed):
 
 def test_empty(spark):
     assert media.image_copies(spark.createDataFrame([], "vec_id long, embedding array<float>"), id_col="vec_id", media_col="embedding", width=8, enlarged=4).count() == 0
+
+
+def test_links_without_a_common_chunk(spark):
+    """Copies whose descriptors are all changed in each chunk, by NEAR bits in all: no key is shared."""
+    r = np.random.default_rng(2)
+    described, rows = [], []
+    for k in range(30):
+        words = r.integers(0, 2**63, (24, 4), dtype=np.uint64)
+        corners = np.stack([*r.uniform(0, 100, (2, 24)), np.ones(24), np.zeros(24)], axis=1).astype(np.float32)
+        off = np.full((24, 4), 0b11111 | 0b11111 << 32, np.uint64) << r.integers(0, 20, (24, 4), dtype=np.uint64)
+        described += [(corners, words), (corners, words ^ off)]
+        if k % 3 == 0:  # one bit more is no copy
+            described.append((corners, words ^ off ^ np.uint64(1 << 31)))
+    rows = [(i, bytes([i]), c.tobytes(), w.tobytes()) for i, (c, w) in enumerate(described)]
+    frame = spark.createDataFrame(rows, "item long, image binary, corners binary, words binary")
+    none = spark.createDataFrame([], "a long, b long")
+    every = [(i, j) for i in range(len(rows)) for j in range(i) if media.copies(described[i], described[j])]
+    assert len(every) == 30 + 10 and not any(np.intersect1d(*(media.chunk_keys(described[x][1], 1) for x in p)).size for p in every if rows[p[0]][0] < 2)
+    want = classes_by_all_pairs(dict(enumerate(described)))
+    for block in (media.BLOCK, 4000):
+        root = {i: i for i in range(len(rows))}
+        for a, b in media.all_links(frame, none, media.NEAR, media.AGREE, media.SHARE, block).collect():
+            x, y = root[a], root[b]
+            root = {i: min(x, y) if t in (x, y) else t for i, t in root.items()}
+        assert root == want
+
+
+def test_noisy_tiles_against_all_pairs(spark):
+    """Copies at the edge of the rule: what the tables of chunks miss is found."""
+    r = np.random.default_rng(6)
+    rows = [r.normal(0, 1, 64) for _ in range(100)]
+    rows += [rows[i % 100] + r.normal(0, 0.1 + 0.05 * (i % 5), 64) for i in range(200)]
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rows)]
+    want = classes_by_all_pairs({i: media.describe(media.pixels(v, 8, 4)) for i, v in rows})
+    got = media.image_copies(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), id_col="vec_id", media_col="embedding", width=8, enlarged=4).collect()
+    assert {x["vec_id"]: x["class_id"] for x in got} == want
