@@ -59,6 +59,8 @@ class Encoder:
         self.by_chunk = self.by_chunk and len(pre) == 2 and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
         self.letters = byte_letters()
+        flat, wide = np.arange(max(self.tokenizer.get_vocab().values(), default=-1) + 1).astype(self.dtype).tobytes(), self.dtype.itemsize
+        self.one = [flat[k : k + wide] for k in range(0, len(flat), wide)]
         self.words: dict[str, bytes] = {}
         self.forget()
 
@@ -80,7 +82,8 @@ class Encoder:
         known = self.words.get(word)
         if known is None:
             text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            known = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(text)], self.dtype).tobytes()
+            one = self.one
+            known = self.words[word] = b"".join([one[t.id] for t in self.tokenizer.model.tokenize(text)])
         return known
 
     def _learned(self, chunks: list[str]) -> list[bytes]:
@@ -88,7 +91,7 @@ class Encoder:
             self.words.clear()
         out: list[bytes] = [b""] * len(chunks)
         rest: list[int] = []
-        word = self._word
+        word, known = self._word, self.words.get
         for i, c in enumerate(chunks):
             low = c.lower()
             if not c:
@@ -96,9 +99,9 @@ class Encoder:
             if not c.isascii() and max(c) >= SIMPLE:
                 rest.append(i)
             elif low.isalpha():
-                out[i] = word(low)
+                out[i] = known(low) or word(low)
             elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                out[i] = word(low[:-1]) + word(low[-1])
+                out[i] = (known(low[:-1]) or word(low[:-1])) + (known(low[-1]) or word(low[-1]))
             elif "<" in c and any(s in c for s in self.specials):  # joined to others, it could reach over a blank
                 out[i] = self.whole(c)
             else:
@@ -130,11 +133,12 @@ class Encoder:
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         flat = lists.flatten()
-        index = pc.fill_null(pc.index_in(flat, value_set=self.names), -1).to_numpy(zero_copy_only=False)
-        missing = index < 0
+        coded = flat.dictionary_encode()  # each different chunk is looked up once
+        names = coded.dictionary
+        place = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False)
+        missing = place < 0
         if missing.any():
-            unknown = flat.filter(pa.array(missing))
-            new = pc.unique(unknown)
+            new = names.filter(pa.array(missing))
             made = self._learned(new.to_pylist())
             before = len(self.size)
             values = np.concatenate((self.values, np.frombuffer(b"".join(made), self.dtype)))
@@ -142,12 +146,13 @@ class Encoder:
             used = self.used
             self._keep(pa.concat_arrays([self.names, new]), values, size)
             self.used[:before] = used
-            index = index.copy()
-            index[missing] = pc.index_in(unknown, value_set=new).to_numpy(zero_copy_only=False) + before
+            place = place.copy()
+            place[missing] = np.arange(before, len(size))
+        index = place[coded.indices.to_numpy()]
         own = self.size[index]
         ids = gathered(self.values, self.begin[index], own)
         edges = np.concatenate(([0], np.cumsum(own)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        self.used[index] = True
+        self.used[place] = True
         if len(self.size) > CHUNKS:  # what wasn't used since the last time goes
             stay = self.used if 2 * int(self.used.sum()) < len(self.used) else np.zeros(len(self.used), bool)
             self._keep(self.names.filter(pa.array(stay)), gathered(self.values, self.begin[stay], self.size[stay]), self.size[stay])

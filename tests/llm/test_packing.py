@@ -113,3 +113,19 @@ def test_weights_with_more_sources_than_queues(spark):
         share[x["queue"]] = share.get(x["queue"], 0) + x["length"]
     assert abs(share["heavy"] - 2048 * 20 / 60) <= 1 and abs(share["#1"] - 2048 * 12 / 60) <= 1
     assert sum(share.values()) == 2048 and all(x["queue"].startswith("##") for x in got if x["doc_id"] > 1)
+
+
+def test_each_different_chunk_is_looked_up_once(monkeypatch):
+    import pyarrow as pa
+
+    from kinweave.llm import tokens
+    from kinweave.llm.queries import tokenizer_path
+
+    asked, real = [], tokens.pc.index_in
+    monkeypatch.setattr(tokens.pc, "index_in", lambda values, **k: asked.append(len(values)) or real(values, **k))
+    enc = tokens.Encoder(tokenizer_path())
+    texts = ["one Two " * 1000, None, "two, one", ""]
+    for _ in range(2):
+        got = enc.encode(pa.array(texts))
+        assert [x.tolist() for x in got] == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sum(asked) <= 2 * 4
