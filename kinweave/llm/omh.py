@@ -332,6 +332,12 @@ def prefix_pairs(every: DataFrame, others: DataFrame, least: float, both_ways: b
     return every.where("minor").join(other, "shingle").where(apart & long_enough).select(*ordered(F.col("text"), F.col("text2"))).distinct()
 
 
+def one_of_each(every: DataFrame) -> DataFrame:
+    """One text of each class at each shingle: that with the least rank."""
+    first = F.min_by(F.struct("text", "n", "rank", "minor"), F.struct("rank", "text"))
+    return every.groupBy("shingle", "label").agg(first.alias("o")).select("shingle", "label", "o.*")
+
+
 def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, small: int, rounds: int) -> DataFrame:
     """entries: key, text. Verified pairs, enough to connect each class."""
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -380,8 +386,7 @@ def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, smal
         return found
     every = across_labels(prefixes(rest, words, shingle, least))
     # one text of a class for it at each shingle, so that texts that join a large class aren't held against all of it
-    one = every.groupBy("shingle", "label").agg(F.min_by(F.struct("text", "n", "rank", "minor"), F.struct("rank", "text")).alias("o")).select("shingle", "label", "o.*")
-    new = checkpoint(prefix_pairs(every, one, least, False).join(tried, ["a", "b"], "left_anti"))
+    new = checkpoint(prefix_pairs(every, one_of_each(every), least, False).join(tried, ["a", "b"], "left_anti"))
     tried = tried.union(new)
     good = checkpoint(verified(new, words, shingle, least))
     if not good.isEmpty():

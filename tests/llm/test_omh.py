@@ -127,3 +127,10 @@ def test_pairs_that_meet_only_in_large_buckets(spark):
 
 def test_empty(spark):
     assert omh.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_prefixes_meet_a_class_by_one_text(spark):
+    rows = [(1, b"x", b"x", True, 10, 0)] + [(1, b"y%d" % k, b"L", False, 10, k % 2) for k in range(50)]
+    every = spark.createDataFrame(rows, "shingle long, text binary, label binary, minor boolean, n long, rank long")
+    assert [tuple(map(bytes, r)) for r in omh.prefix_pairs(every, omh.one_of_each(every), 0.8, False).collect()] == [(b"x", b"y0")]
+    assert omh.prefix_pairs(every, every, 0.8, True).count() == 50  # what is left is held against all
