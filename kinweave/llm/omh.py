@@ -56,6 +56,8 @@ SLOTS, SLOT_BLOCKS = 1 << 20, 32
 KNOWN = 32_000_000
 #: Shingles of minor texts that are broadcast, so that others only emit these: some 4 MB.
 WANTED = 500_000
+#: Rows of a table that one task works through without any exchange: links to be joined, entries of buckets left open, pairs.
+FEW = 100_000
 
 
 def shingles(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +242,10 @@ def verified(pairs: DataFrame, words: DataFrame, shingle: int, least: float) ->
 
     left = words.select(F.col("text").alias("a"), F.col("z").alias("za"))
     right = words.select(F.col("text").alias("b"), F.col("z").alias("zb"))
+    if pairs.count() <= FEW:  # only the words of these are dealt out, once
+        left = left.join(F.broadcast(pairs), "a")
+        right = right.join(F.broadcast(pairs.select("b")), "b", "left_semi")
+        return left.join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary")
 
 
@@ -338,6 +344,35 @@ def one_of_each(every: DataFrame) -> DataFrame:
     return every.groupBy("shingle", "label").agg(first.alias("o")).select("shingle", "label", "o.*")
 
 
+def gathered(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A table of few rows as one partition, so that joins and groups of it need no exchange; whether it is one."""
+    return (checkpoint(df.coalesce(1)).coalesce(1), True) if df.count() <= FEW else (df, False)
+
+
+def joined(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(text, label): components of the links (a, b); few ones are joined by one task, whole."""
+    if edges.count() > FEW:
+        return components(edges, rounds=rounds).withColumnRenamed("node", "text")
+
+    def run(batches):
+        root: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = top(x), top(y)
+                root[max(x, y)] = min(x, y)
+        texts = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([top(x) for x in texts], pa.binary())], names=["text", "label"])
+
+    return F.broadcast(checkpoint(edges.select("a", "b").coalesce(1).mapInArrow(run, "text binary, label binary")))
+
+
 def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, small: int, rounds: int) -> DataFrame:
     """entries: key, text. Verified pairs, enough to connect each class."""
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -349,34 +384,42 @@ def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, smal
     tried = checkpoint(entries.join(hubs, "key").where("text <> hub").select(*ordered(F.col("text"), F.col("hub"))).distinct())
     found = checkpoint(verified(tried, words, shingle, least))
 
-    def mixed(near: int = 2) -> DataFrame:
+    def mixed(near: int = 2) -> tuple[DataFrame, bool]:
         """The entries of buckets that hold several classes: what connects those is all that can matter."""
-        label = checkpoint(components(found, rounds=near))  # classes as far as two rounds find them: stars, whole
-        classed = entries.join(label.withColumnRenamed("node", "text"), "text", "left").select("key", "text", "size", "degree", F.coalesce("label", "text").alias("label"))
+        label = checkpoint(joined(found, near)) if found.count() > FEW else joined(found)  # of many, classes as far as two rounds find them: stars, whole
+        classed = checkpoint(entries.join(label, "text", "left").select("key", "text", "size", "degree", F.coalesce("label", "text").alias("label")))
         keys = classed.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key")
-        return checkpoint(classed.join(keys, "key", "left_semi"))
-
-    for _ in range(max(1, rounds)):
-        classed = mixed()
+        return gathered(checkpoint(classed.join(keys, "key", "left_semi")))
+
+    for k in range(max(1, rounds)):
+        classed, one = mixed()
+        entries = classed.drop("label")  # classes only grow together: the other buckets are done
+        flat = (lambda df: df.coalesce(1)) if one else (lambda df: df)
+        held_by = lambda df: flat(checkpoint(flat(df)))  # noqa: B023, E731
+        if k == 0:
+            hubs = held_by(entries.groupBy("key").agg(F.max(rank).alias("h")).select("key", F.col("h.text").alias("hub")))
+            tried, _ = gathered(tried)
+        if one:
+            words = checkpoint(words.join(F.broadcast(entries.select("text")), "text", "left_semi").coalesce(12))
         few = classed.where(F.col("size") <= small).select("key", "text", "label")
         other = few.select("key", F.col("text").alias("text2"), F.col("label").alias("label2"))
         across = few.join(other, "key").where("label < label2").select(*ordered(F.col("text"), F.col("text2")))
         many = classed.where(F.col("size") > small)
         seen = hubs.join(many.select("key", F.col("text").alias("hub"), F.col("label").alias("done")), ["key", "hub"]).select("key", F.col("done").alias("label"))
         fresh = many.join(seen, ["key", "label"], "left_anti")
-        more = fresh.groupBy("key").agg(F.max(rank).alias("h")).select("key", F.col("h.text").alias("hub"))
+        more = held_by(fresh.groupBy("key").agg(F.max(rank).alias("h")).select("key", F.col("h.text").alias("hub")))
         held = more.join(many.select("key", F.col("text").alias("hub"), F.col("label").alias("hl")), ["key", "hub"])
         star = many.join(held, "key").where("label <> hl").select(*ordered(F.col("text"), F.col("hub")))
-        new = checkpoint(across.union(star).distinct().join(tried, ["a", "b"], "left_anti"))
+        new = held_by(flat(across.union(star)).distinct().join(tried, ["a", "b"], "left_anti"))
         if new.isEmpty():
             break
-        tried = checkpoint(tried.union(new))
-        hubs = checkpoint(hubs.union(more))
+        tried = held_by(tried.union(new))
+        hubs = held_by(hubs.union(more))
         good = checkpoint(verified(new, words, shingle, least))
         if good.isEmpty():
             continue
         found = checkpoint(found.union(good))
-    rest = mixed(NEAR_ROUNDS).where(F.col("size") > small)
+    rest = mixed(NEAR_ROUNDS)[0].where(F.col("size") > small)
     # of two texts of different classes in a bucket one isn't of its largest class
     shares = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = shares.groupBy("key").agg(F.max(F.struct("n", "label")).alias("x")).select("key", F.col("x.label").alias("largest"))
@@ -391,9 +434,9 @@ def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, smal
     good = checkpoint(verified(new, words, shingle, least))
     if not good.isEmpty():
         found = checkpoint(found.union(good))
-        label = components(found, rounds=NEAR_ROUNDS).withColumnRenamed("node", "text").withColumnRenamed("label", "now")
+        label = joined(found, NEAR_ROUNDS).withColumnRenamed("label", "now")
         every = across_labels(every.join(label, "text", "left").withColumn("label", F.coalesce("now", "label")).drop("now"))
-    new = prefix_pairs(every, every, least, True).join(tried, ["a", "b"], "left_anti")
+    new = checkpoint(prefix_pairs(every, every, least, True).join(tried, ["a", "b"], "left_anti"))
     return found.union(checkpoint(verified(new, words, shingle, least)))
 
 
@@ -411,8 +454,8 @@ def near_duplicates(
     entries = checkpoint(entries.join(keys, "key", "left_semi"))
     wanted = entries.select("text").distinct()
     words = squeezed(docs, text_col).join(wanted, "text", "left_semi").groupBy("text").agg(F.min("z").alias("z"))
-    label = components(links(entries, checkpoint(words), shingle, similarity, small, rounds))
-    classes = texts.join(label.withColumnRenamed("node", "text"), "text", "left").select("text", "id", "copies", F.coalesce("label", "text").alias("label"))
+    label = joined(links(entries, checkpoint(words), shingle, similarity, small, rounds))
+    classes = texts.join(label, "text", "left").select("text", "id", "copies", F.coalesce("label", "text").alias("label"))
     firsts = classes.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     by_text = classes.join(firsts, "label").select("text", "class_id", "class_size")
     alone = made.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))

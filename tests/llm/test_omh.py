@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm import omh
 
@@ -134,3 +135,50 @@ def test_prefixes_meet_a_class_by_one_text(spark):
     every = spark.createDataFrame(rows, "shingle long, text binary, label binary, minor boolean, n long, rank long")
     assert [tuple(map(bytes, r)) for r in omh.prefix_pairs(every, omh.one_of_each(every), 0.8, False).collect()] == [(b"x", b"y0")]
     assert omh.prefix_pairs(every, every, 0.8, True).count() == 50  # what is left is held against all
+
+
+@pytest.mark.parametrize("few", [0, omh.FEW])
+def test_few_links_and_many(spark, monkeypatch, few):
+    """The classes are the same whether one task joins the links and the open buckets, or all of them do."""
+    monkeypatch.setattr(omh, "FEW", few)
+    rows = near(seed=5, n=60)
+    got: dict = {}
+    for x in omh.near_duplicates(frame(spark, rows), small=2).where("doc_id >= 2000").collect():
+        got.setdefault(x["class_id"], set()).add(x["doc_id"])
+    want = [{i for i in c if isinstance(i, int) and i >= 2000} for c in brute(rows)]
+    assert sorted(map(sorted, got.values())) == sorted(sorted(c) for c in want if c)
+    edges = spark.createDataFrame([(b"b", b"c"), (b"a", b"b"), (b"x", b"y"), (b"z", b"y")], "a binary, b binary")
+    assert {bytes(x["text"]): bytes(x["label"]) for x in omh.joined(edges).collect()} == {b"a": b"a", b"b": b"a", b"c": b"a", b"x": b"x", b"y": b"x", b"z": b"x"}
+
+
+def test_few_rows_take_no_exchange(spark):
+    """Tables of few rows are joined and grouped in one task, however many partitions shuffles have."""
+    made = spark.range(50).selectExpr("id % 7 AS key", "cast(cast(id AS string) AS binary) AS text")
+    held, one = omh.gathered(omh.checkpoint(made.repartition(5)))
+    most = held.groupBy("key").agg(F.max("text").alias("m"))
+    assert one and held.join(most, "key").distinct().rdd.getNumPartitions() == 1
+    assert "Exchange hash" not in held.join(most, "key")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_many_partitions(spark):
+    """The rounds of few rows open no stages of all partitions."""
+
+    def tasks(run):
+        sc = spark.sparkContext
+        sc.setJobGroup("counted", "")
+        run()
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("counted") for s in tracker.getJobInfo(j).stageIds}
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        n = tasks(lambda: omh.near_duplicates(frame(spark, near()), small=2).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert n < 1500
