@@ -45,9 +45,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.components import components
 from .common import checkpoint, mix, small_batches
-from .exchange import NO_ID, id_of, public_id
+from .exchange import NO_ID, id_of, public_id, starts
+from .omh import joined
 
 BITS, CHUNKS = 256, 8
 RADIUS, SCALES = 10, (1.0, 1.5, 2.25)
@@ -58,7 +58,9 @@ NEAR, AGREE, SHARE = 40, 4, 0.25
 #: Keys shared before a pair is verified; images of a bucket whose pairs are all made.
 MEET, SMALL = 2, 24
 #: Bytes of corners and descriptors of a block of images, blocks at least (if there are as many images), axes of the projection.
-BLOCK, BLOCKS, AXES = 8_000_000, 8, 96
+BLOCK, BLOCKS, AXES = 8_000_000, 12, 48
+#: Descriptors of each side whose products are made at once; matches that an image must have without the corners left out.
+STRETCH, LEFT = 512, 3
 #: Matches tried as the one that the others agree with.
 TRIED = 256
 
@@ -329,40 +331,56 @@ def wider_keys(held: DataFrame, described: DataFrame, width: int) -> DataFrame:
     return of.join(described.select("item", "words"), "item").select("item", "label", "keys", "words").mapInArrow(run, "key long, item long, label long")
 
 
-def near_pairs(v: np.ndarray, w: np.ndarray, near: int):
-    """Stretches of v with the places (i, j) of all pairs of descriptors that differ in at most `near` bits: (first, end, i, j)."""
+def near_pairs(v: np.ndarray, w: np.ndarray, near: int, start: np.ndarray | None = None):
+    """Stretches of v with the places (i, j) of all pairs of descriptors that differ in at most `near` bits: (first, end, i, j).
+
+    start: the place in w from which on pairs are wanted, for each place in v, ascending.
+    """
     signs = lambda x: np.unpackbits(x.view(np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.float32) * 2 - 1
     sample = signs(w[:: max(1, len(w) // 10_000)])
-    axes = np.linalg.eigh((sample.T @ sample).astype(np.float64))[1][:, -AXES:].astype(np.float32)  # any axes give a lower bound, these a high one
-    low = lambda x: np.concatenate([np.zeros((0, AXES), np.float32), *(signs(x[k : k + 10_000]) @ axes for k in range(0, len(x), 10_000))])
-    a, b = low(v), low(w)
-    one = lambda x: np.ones((len(x), 1), np.float32)
-    square = lambda x: (x * x).sum(axis=1, keepdims=True)
-    # 4 near - |a - b|^2 as one product, with room for rounding
-    left = np.concatenate([2 * a, 4 * near + 0.5 - square(a), one(a)], axis=1)
-    right = np.concatenate([b, one(b), -square(b)], axis=1)
-    wide = 4096
-    right = np.concatenate([right, np.repeat(np.array([[0] * AXES + [0, -1]], np.float32), -len(right) % 8, axis=0)])  # whole words of flags
-    right = np.ascontiguousarray(right.T)
-    for lo in range(0, len(v), 256):
+    axes = np.linalg.eigh((sample.T @ sample).astype(np.float64))[1][:, 1 - AXES :].astype(np.float32)  # any axes give a bound, these a good one
+
+    def low(x: np.ndarray) -> np.ndarray:
+        """Coordinates on the axes and the length of what is left: a product of two is at least that of the signs."""
+        out = np.empty((len(x), AXES), np.float32)
+        for k in range(0, len(x), 10_000):
+            own = signs(x[k : k + 10_000]) @ axes
+            out[k : k + 10_000, :-1] = own
+            out[k : k + 10_000, -1] = np.sqrt(np.maximum(0, BITS - (own * own).sum(axis=1)))
+        return out
+
+    left, right = low(v), low(w)
+    pad = -len(w) % STRETCH  # zeros: never near
+    right = np.concatenate([right, np.zeros((pad, AXES), np.float32)]).reshape(-1, STRETCH, AXES)
+    right = [np.ascontiguousarray(x.T) for x in right]
+    product, flags = np.empty((STRETCH, STRETCH), np.float32), np.empty((STRETCH, STRETCH), bool)
+    for lo in range(0, len(v), STRETCH):
+        end = min(len(v), lo + STRETCH)
+        own, here = left[lo:end], v[lo:end]
         rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, right.shape[1], wide):
-            may = (left[lo : lo + 256] @ right[:, at : at + wide]) >= 0
-            across = may.shape[1]
-            some = np.flatnonzero(may.ravel().view(np.uint64))
-            place, bit = np.nonzero(may.ravel().reshape(-1, 8)[some])
-            flat = some[place] * 8 + bit
-            i, j = flat // across + lo, flat % across + at
-            keep = j < len(w)
-            i, j = i[keep], j[keep]
-            use = np.bitwise_count(v[i] ^ w[j]).sum(axis=1, dtype=np.int64) <= near
-            rows.append(i[use])
-            columns.append(j[use])
-        yield lo, min(len(v), lo + 256), np.concatenate(rows), np.concatenate(columns)
-
-
-def block_links(items: list[int], labels: list[int], ours: list[tuple], others: np.ndarray, mine: np.ndarray, near: int, agree: int, share: float) -> list[tuple[int, int]]:
-    """Links that connect different classes among images (mine) and others, by places in the lists, each pair once."""
+        for k in range(0 if start is None else int(start[lo]) // STRETCH, len(right)):
+            np.matmul(own, right[k], out=product[: end - lo])
+            np.greater_equal(product[: end - lo], BITS - 2 * near - 0.25, out=flags[: end - lo])  # with room for rounding
+            may = flags[: end - lo].reshape(-1)
+            some = np.flatnonzero(may.view(np.uint64))
+            if not len(some):
+                continue
+            place = np.flatnonzero(may.reshape(-1, 8)[some])
+            place = (some[place >> 3] << 3) + (place & 7)
+            i, j = place // STRETCH, place % STRETCH
+            bits = np.bitwise_count(here.take(i, axis=0) ^ w[k * STRETCH : (k + 1) * STRETCH].take(j, axis=0)).view(np.uint16)
+            bits = bits[:, 0] + bits[:, 1]  # two sums of up to 128
+            use = np.flatnonzero((bits >> 8) + (bits & 255) <= near)
+            rows.append(i[use] + lo)
+            columns.append(j[use] + k * STRETCH)
+        yield lo, end, np.concatenate(rows), np.concatenate(columns)
+
+
+def block_links(items: list[int], labels: list[int], ours: list[tuple], mine: np.ndarray, others: np.ndarray, near: int, agree: int, share: float) -> list[tuple[int, int]]:
+    """Links that connect different classes among images (mine) and others, by places in the lists, each pair once.
+
+    None of mine has more corners than one of the others; if both are the same, they stand by number of corners.
+    """
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -370,15 +388,22 @@ def block_links(items: list[int], labels: list[int], ours: list[tuple], others:
             x = root[x]
         return x
 
-    many = np.array([len(w) for _, w in ours])
+    many = np.array([len(w) for _, w in ours], np.int64)
     label = np.array(labels)
-    joined = lambda at: np.concatenate([np.zeros((0, BITS // 64), np.uint64), *(ours[k][1] for k in at)])
-    of, to = np.repeat(np.arange(len(mine)), many[mine]), np.repeat(np.arange(len(others)), many[others])
     found = []
+    if not len(mine) or not len(others):
+        return found
+    same = mine is others
+    # of the corners that a link needs all but LEFT may be among those left out
+    need = np.maximum(agree, np.ceil(share * many[mine] - 1e-9).astype(np.int64))
+    out = np.maximum(0, need - LEFT)
+    need = need - out
+    of, to = np.repeat(np.arange(len(mine)), np.maximum(0, many[mine] - out)), np.repeat(np.arange(len(others)), many[others])
+    joined = lambda at, skip: np.concatenate([np.zeros((0, BITS // 64), np.uint64), *(ours[k][1][n:] for k, n in zip(at, skip, strict=True))])
     if not len(of) or not len(to):
         return found
     left = np.zeros((0, len(others)), np.int32)  # counts of the image that goes on in the next stretch
-    for lo, end, i, j in near_pairs(joined(mine), joined(others), near):
+    for lo, end, i, j in near_pairs(joined(mine, out), joined(others, np.zeros(len(others), np.int64)), near, starts(many[others])[of] if same else None):
         first, last = int(of[lo]), int(of[end - 1])
         counts = np.zeros((last - first + 1, len(others)), np.int32)
         counts[: len(left)] += left
@@ -388,10 +413,10 @@ def block_links(items: list[int], labels: list[int], ours: list[tuple], others:
         left = counts[:0] if whole else counts[-1:]
         done = counts if whole else counts[:-1]
         m = mine[first : first + len(done)]
-        need = np.maximum(agree, share * np.minimum(many[m][:, None], many[others][None]))
-        for p, q in np.argwhere((done >= need) & (label[m][:, None] != label[others][None])).tolist():
+        enough = (done >= need[first : first + len(done), None]) & (label[m][:, None] != label[others][None])
+        for p, q in np.argwhere(enough).tolist():
             x, y = int(m[p]), int(others[q])
-            if top(labels[x]) != top(labels[y]) and copies(ours[x], ours[y], near, agree, share):
+            if (not same or q > first + p) and top(labels[x]) != top(labels[y]) and copies(ours[x], ours[y], near, agree, share):
                 root[top(labels[x])] = top(labels[y])
                 found.append((items[x], items[y]))
     return found
@@ -401,9 +426,17 @@ def all_links(described: DataFrame, found: DataFrame, near: int, agree: int, sha
     """Links that connect classes which the links found leave apart: all pairs, a task a pair of blocks."""
     size = described.agg(F.sum(F.length("corners") + F.length("words")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     n = max(1, -(-(size["bytes"] or 0) // block), min(BLOCKS, size["n"] // 50))
-    label = components(found).withColumnRenamed("node", "item")
-    own = F.pmod(F.xxhash64("item"), F.lit(n))
-    held = described.join(label, "item", "left").select("item", F.coalesce("label", "item").alias("label"), "corners", "words", own.alias("block"))
+    label = joined(found, None, "item", "long")
+    # blocks by number of corners, so that it is known which of two images has fewer
+    described = described.withColumn("many", F.length("words"))
+    ranks, before = [], 0
+    for r in sorted(described.groupBy("many").count().collect()):  # as many rows as there are numbers of corners
+        ranks.append((r["many"], before / max(1, size["n"]), r["count"] / max(1, size["n"])))
+        before += r["count"]
+    ranks = F.broadcast(described.sparkSession.createDataFrame(ranks, "many int, first double, part double"))
+    even = F.pmod(F.xxhash64("item"), F.lit(1 << 20)) / (1 << 20)
+    own = F.least(F.floor((F.col("first") + F.col("part") * even) * n), F.lit(n - 1))
+    held = described.join(ranks, "many").join(label, "item", "left").select("item", F.coalesce("label", "item").alias("label"), "corners", "words", own.alias("block"))
     of = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
     pair = (F.least("block", "other") * n + F.greatest("block", "other")).alias("pair")
     dealt = held.select("*", of).select("item", "label", "corners", "words", "block", pair)
@@ -413,11 +446,14 @@ def all_links(described: DataFrame, found: DataFrame, near: int, agree: int, sha
         block = table.column("block").to_numpy()
         read = lambda name, kind, width: [np.frombuffer(x, kind).reshape(-1, width) for x in table.column(name).to_pylist()]
         ours = list(zip(read("corners", np.float32, 4), read("words", np.uint64, BITS // 64), strict=True))
-        mine, others = np.flatnonzero(block == at // n), np.flatnonzero(block == at % n)
-        kept = block_links(table.column("item").to_pylist(), table.column("label").to_pylist(), ours, others, mine, near, agree, share)
+        order = np.argsort([len(w) for _, w in ours], kind="stable")
+        mine, others = (order[block[order] == k] for k in (at // n, at % n))
+        if at // n == at % n:
+            others = mine
+        kept = block_links(table.column("item").to_pylist(), table.column("label").to_pylist(), ours, mine, others, near, agree, share)
         return pa.table({"a": pa.array([p[0] for p in kept], pa.int64()), "b": pa.array([p[1] for p in kept], pa.int64())})
 
-    return checkpoint(dealt.repartition(n * (n + 1) // 2, "pair").groupBy("pair").applyInArrow(run, "a long, b long"))
+    return checkpoint(dealt.repartitionByRange(n * (n + 1) // 2, "pair").groupBy("pair").applyInArrow(run, "a long, b long"))
 
 
 def image_copies(
@@ -466,7 +502,7 @@ def image_copies(
 
     def mixed(held: DataFrame, links: DataFrame) -> DataFrame:
         """held (key, item and others) with the items' classes: the buckets that hold several."""
-        label = components(links, rounds=2).withColumnRenamed("node", "item")  # whole stars; what is joined further only costs pairs
+        label = joined(links, 2, "item", "long")  # whole stars; what is joined further only costs pairs
         classed = held.join(label, "item", "left").withColumn("label", F.coalesce("label", "item"))
         several = classed.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key")
         return checkpoint(classed.join(several, "key", "left_semi"))
@@ -497,7 +533,7 @@ def image_copies(
 
     found = checkpoint(found.union(all_links(described, found, near, agree, share)))
 
-    label = components(found).withColumnRenamed("node", "item")
+    label = joined(found, None, "item", "long")
     classes = described.select("item", "image").join(label, "item", "left").select("image", F.coalesce("label", "item").alias("label"))
     own = rows.where("image is not null").groupBy("image").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     # images without corners have no item: their bytes are their class

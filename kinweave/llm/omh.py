@@ -349,15 +349,16 @@ def gathered(df: DataFrame) -> tuple[DataFrame, bool]:
     return (checkpoint(df.coalesce(1)).coalesce(1), True) if df.count() <= FEW else (df, False)
 
 
-def joined(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def joined(edges: DataFrame, rounds: int | None = None, node: str = "text", kind: str = "binary") -> DataFrame:
     """(text, label): components of the links (a, b); few ones are joined by one task, whole."""
     if edges.count() > FEW:
-        return components(edges, rounds=rounds).withColumnRenamed("node", "text")
+        return components(edges, rounds=rounds).withColumnRenamed("node", node)
+    of = {"binary": pa.binary(), "long": pa.int64()}[kind]
 
     def run(batches):
-        root: dict[bytes, bytes] = {}
+        root: dict = {}
 
-        def top(x: bytes) -> bytes:
+        def top(x):
             while root.setdefault(x, x) != x:
                 root[x] = root[root[x]]
                 x = root[x]
@@ -367,10 +368,10 @@ def joined(edges: DataFrame, rounds: int | None = None) -> DataFrame:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x, y = top(x), top(y)
                 root[max(x, y)] = min(x, y)
-        texts = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([top(x) for x in texts], pa.binary())], names=["text", "label"])
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, of), pa.array([top(x) for x in nodes], of)], names=[node, "label"])
 
-    return F.broadcast(checkpoint(edges.select("a", "b").coalesce(1).mapInArrow(run, "text binary, label binary")))
+    return F.broadcast(checkpoint(edges.select("a", "b").coalesce(1).mapInArrow(run, f"{node} {kind}, label {kind}")))
 
 
 def links(entries: DataFrame, words: DataFrame, shingle: int, least: float, small: int, rounds: int) -> DataFrame:

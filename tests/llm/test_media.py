@@ -165,3 +165,50 @@ def test_noisy_tiles_against_all_pairs(spark):
     want = classes_by_all_pairs({i: media.describe(media.pixels(v, 8, 4)) for i, v in rows})
     got = media.image_copies(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), id_col="vec_id", media_col="embedding", width=8, enlarged=4).collect()
     assert {x["vec_id"]: x["class_id"] for x in got} == want
+
+
+def test_near_pairs():
+    """All pairs within NEAR bits, and no others, at sizes around a stretch and from any place on."""
+    r = np.random.default_rng(4)
+    for n, m in ((1, 1), (511, 513), (700, 1300)):
+        w = r.integers(0, 2**63, (m, 4), dtype=np.uint64)
+        flips = np.packbits(r.random((n, 256)) < r.uniform(0.1, 0.2, (n, 1)), axis=1).view(np.uint64)
+        v = w[r.integers(0, m, n)] ^ flips
+        want = {(i, j) for i, j in np.argwhere(np.bitwise_count(v[:, None] ^ w[None]).sum(axis=2, dtype=int) <= media.NEAR).tolist()}
+        start = np.sort(r.integers(0, m, n))
+        for s in (None, start):
+            got = [x for _, _, i, j in media.near_pairs(v, w, media.NEAR, s) for x in zip(i.tolist(), j.tolist(), strict=True)]
+            wanted = want if s is None else {x for x in want if x[1] >= s[x[0]]}
+            assert len(set(got)) == len(got) and wanted <= set(got) <= want
+    assert want
+
+
+def test_blocks_compare_each_pair_once(monkeypatch):
+    """Corners that a link needs may be among those left out, and a block holds each pair once."""
+    compared = []
+    near_pairs = media.near_pairs
+
+    def counted(v, w, near, start=None):
+        for lo, end, i, j in near_pairs(v, w, near, start):
+            compared.append((end - lo) * (len(w) - (0 if start is None else int(start[lo]) // media.STRETCH * media.STRETCH)))
+            yield lo, end, i, j
+
+    monkeypatch.setattr(media, "near_pairs", counted)
+    r = np.random.default_rng(7)
+    ours = []
+    for n in sorted(r.integers(4, 40, 160).tolist()):
+        corners = np.stack([*r.uniform(0, 100, (2, n)), np.ones(n), np.zeros(n)], axis=1).astype(np.float32)
+        ours.append((corners, r.integers(0, 2**63, (n, 4), dtype=np.uint64)))
+    for k in range(40):  # the first corners and no more than needed are alike
+        (a, v), (b, w) = ours[k * 3], ours[k * 3 + 2]
+        need = int(max(media.AGREE, np.ceil(media.SHARE * len(v))))
+        b[:need], w[:need] = a[:need], v[:need]
+    want = {(i, j) for i in range(160) for j in range(i + 1, 160) if media.copies(ours[i], ours[j])}
+    every, items = np.arange(160), list(range(160))
+    assert len(want) >= 35
+    got = media.block_links(items, items, ours, every, every, media.NEAR, media.AGREE, media.SHARE)
+    assert {tuple(sorted(p)) for p in got} == want
+    n = sum(len(w) for _, w in ours)
+    assert sum(compared) < 0.85 * n * n
+    got += media.block_links(items, items, ours, every[:70], every[70:], media.NEAR, media.AGREE, media.SHARE)
+    assert {tuple(sorted(p)) for p in got} == want
