@@ -20,8 +20,8 @@ of a descriptor where its chunks are common ones.
 
 A link's descriptors may differ in NEAR bits without a chunk in common, so the classes are then joined by all pairs across
 them, block by block: a pair is verified if enough corners of the one have a descriptor within NEAR bits in the other, as any link
-needs. Distances are bounded from below by projections to AXES axes, and counted where that bound allows NEAR bits. So no link is
-missed; the cost grows with the square of the different images' corners.
+needs. Of the image with fewer corners those are left out that a link can spare, down to LEFT it must have. Distances are bounded from below
+by projections to AXES axes, and counted where that bound allows NEAR bits. So no link is missed; the cost grows with the square of the different images' corners.
 
 Equal images are one image from the start. Images are PNG (8 bits, not interlaced), PGM and PPM bytes, or arrays of
 grey values with a given width.

@@ -18,7 +18,8 @@ with one more hub, the best-connected text of the classes without one. The texts
 classes even then are joined by prefixes: similar texts have so many labelled shingles in common that, in any one
 order of all shingles, the first n - ceil(SIMILARITY n) + 1 of each hold a common one. The order is by frequency, so
 what templates share stands last and in no prefix. All pairs across classes that share a prefix shingle are verified,
-but for those of two texts that each belong to the largest class of all their buckets: no link of a large bucket is missed. Texts that have rare shingles in common but differ in order cost a pair each.
+but for those of two texts that each belong to the largest class of all their buckets: no link of a large bucket is missed. What is left open after
+the first hubs is mostly little: up to FEW rows are gathered, and joined and grouped by one task without any exchange. Texts that have rare shingles in common but differ in order cost a pair each.
 
 With 16 bands of 2 sketches of 2 shingles a pair of similarity 0.8 meets with a probability of about 0.9998, and
 surely above 0.95; a link can be missed only there.
